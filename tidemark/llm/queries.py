@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import tokens
-from tidemark.llm.common import table
+from tidemark.llm import quality, tokens
+from tidemark.llm.common import stash, table
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,13 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output,)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted, names = quality.with_counts(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
+    counted = stash(counted, "quality")
+    cut = stash(quality.cutoffs(counted, names, table(spark, sf_dir, "labels")), "cutoffs")
+    return quality.with_verdict(counted, names, cut).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op3_token_output, op4_quality_rules)}
 
 SQL: dict[str, str] = {}
