@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality, tokens
+from tidemark.llm import pages, quality, tokens
 from tidemark.llm.common import stash, table
 
 
@@ -21,6 +21,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(counted, names, cut).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op4_quality_rules)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+QUERIES = {f.__name__: f for f in (op3_token_output, op4_quality_rules, op9_html_extraction)}
 
 SQL: dict[str, str] = {}
