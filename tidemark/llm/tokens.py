@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from tidemark.llm.common import maybe_broadcast, scratch_path, ship
 _FILE_BITS = 33
 
 _LETTERS = "a-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-#: chunks of these characters are normalised and split by the plain rule below; all others go through the library whole
-_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*\\Z")
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: texts of these characters are normalised and split by the plain rule below; of others, each odd chunk goes through the library whole
+_PLAIN = re.compile("[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*+\\Z")
+_PIECE = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^{_LETTERS}0-9\t-\r\x20]+")
 
 
 def _byte_letters() -> list[str]:
@@ -46,48 +47,56 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Pieces(dict):
+    """piece -> its ids as bytes, found on first use."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        seen = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        got = self[piece] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return got
+
+
 class WordEncoder:
-    """Encodes texts with a white-space-free vocabulary, remembering the ids of chunks seen before.
+    """Encodes texts with a white-space-free vocabulary, remembering the ids of pieces seen before.
 
-    The vocabulary drops white space and never merges across it, so the ids of
-    a text are those of its chunks one after the other.  ``room`` bounds the
-    chunks (and pieces of chunks) remembered; on reaching it the memory starts
-    afresh, which changes no result.
+    The vocabulary merges only within the pieces that its splitting rule finds,
+    and no piece holds white space, so the ids of a text are those of its
+    pieces one after the other.  ``room`` bounds the pieces remembered; beyond
+    it the memory starts afresh, which changes no result.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.letters = _byte_letters()
         self.room = room
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.whole.model)
+        self.odd: dict[bytes, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.room:
-                self.pieces.clear()
-            seen = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-        return got
+    def _plain(self, text: str) -> bytes:
+        if len(self.pieces) > self.room:
+            self.pieces.clear()
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if _PLAIN.match(text) and "<|" not in text:
-            return b"".join(map(self._piece, _PIECE.findall(text.lower())))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._plain(text)
+        got = self.odd.get(chunk)
+        if got is None:
+            if len(self.odd) > self.room // 8:
+                self.odd.clear()
+            got = self.odd[chunk] = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return got
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        words, known = text.encode().split(), self.chunks
-        if len(known) > self.room:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self._chunk(w)
-        return b"".join(map(known.__getitem__, words))
+        """32-bit ids of a text, in the machine's byte order."""
+        if _PLAIN.match(text) and "<|" not in text:
+            return self._plain(text)
+        return b"".join(map(self._chunk, text.encode().split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -131,7 +140,7 @@ def write_tokens(
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType)]
     fields += [T.StructField("row", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     fields += [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    end = np.array([end_id], "<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
 
     def encode(batches):
         enc, offset = encoder(tokenizer), 0
@@ -141,7 +150,7 @@ def write_tokens(
                 ids = [enc.encode(t or "") + end for t in part.column("_text").to_pylist()]
                 n = np.array([len(b) // 4 for b in ids], np.int64)
                 at = np.concatenate([[0], np.cumsum(n)])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                flat = pa.array(np.frombuffer(b"".join(ids), np.uint32).astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat)
                 cols = [part.column("_id"), part.column("_row"), pa.array(at[:-1] + offset), pa.array(n), lists, *[part.column(f"_keep_{k}") for k in range(len(keep))]]
                 offset += int(at[-1])
