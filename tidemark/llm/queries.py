@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import pages, quality, tokens
+from tidemark.llm import pages, quality, tokens, toxicity
 from tidemark.llm.common import stash, table
 
 
@@ -21,10 +22,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(counted, names, cut).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op4_quality_rules, op9_html_extraction)}
+QUERIES = {f.__name__: f for f in (op3_token_output, op4_quality_rules, op8_toxicity, op9_html_extraction)}
 
 SQL: dict[str, str] = {}
