@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pages, quality, tokens, toxicity
+from tidemark.llm import mixing, pages, quality, tokens, toxicity
 from tidemark.llm.common import stash, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +39,6 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op4_quality_rules, op8_toxicity, op9_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_output, op4_quality_rules, op8_toxicity, op9_html_extraction)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL}
