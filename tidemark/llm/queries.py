@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pages, quality, tokens, toxicity
+from tidemark.llm import decontam, mixing, pages, quality, tokens, toxicity
 from tidemark.llm.common import stash, table
 
 
@@ -39,6 +39,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_output, op4_quality_rules, op8_toxicity, op9_html_extraction)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_output, op4_quality_rules, op8_toxicity, op9_html_extraction, op10_decontamination)}
+
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op10_decontamination": decontam.SQL}
