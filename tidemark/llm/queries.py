@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, pages, quality, tokens, toxicity
+from tidemark.llm import decontam, mixing, pages, quality, secrets, tokens, toxicity
 from tidemark.llm.common import stash, table
 
 
@@ -14,6 +14,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    base = [(i, r.kind) for i, r in enumerate(secrets.RULES) if r.base]
+    return found.select("doc_id", *[count(i).alias(f"n_{kind}") for i, kind in base], F.sha2(secrets.spans_text(F.col("found"), True).cast("binary"), 256).alias("base_sha256"), secrets.spans_text(F.col("found")).alias("spans"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +50,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_output, op4_quality_rules, op8_toxicity, op9_html_extraction, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_token_output, op4_quality_rules, op8_toxicity, op9_html_extraction, op10_decontamination)}
 
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op10_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_secret_scan": secrets.SQL, "op10_decontamination": decontam.SQL}
