@@ -28,12 +28,22 @@ from tidemark.llm.common import fresh, maybe_broadcast, stash, text_or_empty
 
 SPAN, GRAM = 8, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# what stands between words, before and after A-Z is lower-cased
+_GAPS, _GAPS_ANY_CASE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; nulls have none."""
-    return F.regexp_extract_all(F.translate(text_or_empty(text), _UPPER, _LOWER), F.lit(_WORDS), F.lit(0))
+    return F.array_remove(F.split(F.translate(text_or_empty(text), _UPPER, _LOWER), _GAPS, -1), "")
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(text_or_empty(text), _GAPS_ANY_CASE, -1), "")).cast("long")
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column worked out once a row: a generator keeps the planner from pulling it into filters and lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def fingerprints(texts: DataFrame, key: list[str], span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -43,11 +53,13 @@ def fingerprints(texts: DataFrame, key: list[str], span: int = SPAN, gram: int =
     the gram, and up to span - gram words after it.
     """
     side, window = span - gram, span - gram + 1
-    hashed = (
-        texts.filter(F.size("words") >= span)
-        .withColumn("_grams", F.expr(f"transform(sequence(1, size(words) - {gram - 1}), i -> xxhash64(slice(words, i, {gram})))"))
-        .withColumn("_at", F.expr(f"array_distinct(transform(sequence(1, size(_grams) - {window - 1}), i -> cast(i + array_position(slice(_grams, i, {window}), array_min(slice(_grams, i, {window}))) - 1 as int)))"))
-    )
+    g = ", ".join(f"words[i + {j}]" for j in range(gram))
+    hashed = _once(texts.filter(F.size("words") >= span), "_grams", F.expr(f"transform(sequence(0, size(words) - {gram}), i -> xxhash64({g}))"))
+    least = ", ".join(f"_grams[i + {j}]" for j in range(window))
+    least = f"least({least})" if window > 1 else least
+    first = " ".join(f"WHEN _grams[i + {j}] = m THEN i + {j + 1}" for j in range(window))
+    at = f"array_distinct(transform(transform(sequence(0, size(_grams) - {window}), i -> {least}), (m, i) -> CASE {first} END))"
+    hashed = _once(hashed, "_at", F.expr(at))
     around = f"slice(words, greatest(p - {side}, 1), least(p - 1, {side}) + {span})"
     found = F.expr(f"transform(_at, p -> struct(element_at(_grams, p) as hash, p as at, least(p - 1, {side}) as left, {around} as around))")
     return hashed.select(*key, F.explode(found).alias("_f")).select(*key, "_f.*")
@@ -75,7 +87,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     bench = stash(items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(F.col(item_text_col)).alias("words")), "items")
     lengths = bench.filter(F.size("words").between(1, SPAN - 1)).select(F.size("words").alias("n")).distinct().collect()
     key = ["_id", "_hash"]
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text_or_empty(F.col(f"`{text_col}`"))).alias("_hash"), words(F.col(f"`{text_col}`")).alias("words"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text_or_empty(F.col(f"`{text_col}`"))).alias("_hash"), F.col(f"`{text_col}`").alias("_text"))
+    texts = _once(texts, "words", words(F.col("_text"))).drop("_text")
 
     spans = None
     for span, gram in [(SPAN, GRAM), *[(r["n"], r["n"]) for r in lengths]]:
@@ -89,7 +102,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_hash").alias("_hit_hash"), covered.cast("long").alias("_n_hit"), F.size("_items").cast("long").alias("_n_items"), F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("_sha"))
 
     text = F.col(f"`{text_col}`")
-    base = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text_or_empty(text)).alias("_hash"), F.size(words(text)).cast("long").alias("_n_words"))
+    base = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text_or_empty(text)).alias("_hash"), word_count(text).alias("_n_words"))
     out = base.join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
     n_items = F.coalesce("_n_items", F.lit(0).cast("long"))
     added = (F.col("_n_words"), F.coalesce("_n_hit", F.lit(0).cast("long")), n_items, F.coalesce("_sha", F.sha2(F.lit("").cast("binary"), 256)), n_items >= least_items)
