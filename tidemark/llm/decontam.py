@@ -101,9 +101,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     hits = spans.groupBy(*key).agg(F.collect_set(F.struct("start", "span")).alias("_spans"), F.array_sort(F.collect_set("item")).alias("_items"))
     hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_hash").alias("_hit_hash"), covered.cast("long").alias("_n_hit"), F.size("_items").cast("long").alias("_n_items"), F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("_sha"))
 
+    hits = stash(hits, "hits")
     text = F.col(f"`{text_col}`")
     base = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text_or_empty(text)).alias("_hash"), word_count(text).alias("_n_words"))
-    out = base.join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
+    out = base.join(maybe_broadcast(hits, hits.count(), 120), F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
     n_items = F.coalesce("_n_items", F.lit(0).cast("long"))
     added = (F.col("_n_words"), F.coalesce("_n_hit", F.lit(0).cast("long")), n_items, F.coalesce("_sha", F.sha2(F.lit("").cast("binary"), 256)), n_items >= least_items)
     return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], *[c.alias(n) for c, n in zip(added, names)])

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec
-from tidemark.llm.common import fresh, maybe_broadcast, ship, stash, text_or_empty
+from tidemark.llm.common import maybe_broadcast, ship, stash, text_or_empty
 from tidemark.llm.components import components
 
 SHINGLE, REGISTERS, MANTISSA, BANDS = 5, 252, 10, 42
@@ -204,7 +204,7 @@ def confirmed_links(values: np.ndarray, first: np.ndarray, left: np.ndarray, thr
 
 
 def near_duplicates(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, groups): _id, _hash, n_shingles, cls per document; cls, component_id per class of equal sets."""
+    """(documents, groups): _id, _hash, n_shingles, cls per document; cls, root (of its group), component_id per class of equal sets."""
     spark = docs.sparkSession
     sk = stash(sketched(docs, id_col=id_col, text_col=text_col, threshold=threshold_pct / 100), "sketches")
     classes = sk.filter("cls is not null").groupBy("cls").agg(F.min("_id").alias("least"), F.min(F.struct("_hash", "_id")).alias("at"), F.max("n_shingles").alias("n"), F.max("keys").alias("keys"))
@@ -241,17 +241,23 @@ def near_duplicates(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "
     groups = stash(components(links, "links"), "groups")
     joined = classes.select("cls", "least").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return sk.drop("keys"), stash(joined.join(least, "root").select("cls", "component_id"), "members")
+    return sk.drop("keys"), stash(joined.join(least, "root").select("cls", "root", "component_id"), "members")
 
 
 def deduplicated(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_shingles, component_id and kept: one row per document, groups named by their smallest id."""
-    names = fresh(docs, "n_shingles", "component_id", "kept")
+    """One document of each group, that of the smallest id (a null one only if the group has no other), and all without words.
+
+    Of repeated rows one stays. Documents keep their columns.
+    """
     rows, groups = near_duplicates(docs, threshold_pct=threshold_pct, id_col=id_col, text_col=text_col)
-    labelled = verdicts(rows, groups).select(F.col("_id").alias("_row_id"), F.col("_hash").alias("_row_hash"), "n_shingles", "component_id", "kept").distinct()
-    base = docs.withColumns({"_doc_hash": F.xxhash64(text_or_empty(F.col(f"`{text_col}`")))})
-    out = base.join(labelled, F.col(f"`{id_col}`").eqNullSafe(F.col("_row_id")) & (F.col("_doc_hash") == F.col("_row_hash")))
-    return out.select(*[base[f"`{c}`"] for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(("n_shingles", "component_id", "kept"), names)])
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("_s")
+    stay = rows.join(groups, "cls").groupBy("root").agg(first).select("_s._id", "_s._hash")
+    stay = stash(stay.union(rows.filter("cls is null").select("_id", "_hash").distinct()), "stay").select(F.col("_id").alias("_stay_id"), F.col("_hash").alias("_stay_hash"))
+    here = docs.withColumn("_doc_hash", F.xxhash64(text_or_empty(F.col(f"`{text_col}`"))))
+    out = here.join(maybe_broadcast(stay, stay.count(), 40), F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")) & (F.col("_doc_hash") == F.col("_stay_hash")), "left_semi")
+    if not rows.groupBy("_id", "_hash").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "_doc_hash"])
+    return out.drop("_doc_hash")
 
 
 def verdicts(rows: DataFrame, groups: DataFrame) -> DataFrame:

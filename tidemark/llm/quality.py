@@ -224,3 +224,14 @@ def with_verdict(counted: DataFrame, names: dict[str, str], cut: DataFrame, *, s
     for r in RULES:
         bad = bad | F.coalesce(_share(r, names) >= F.col(f"_cut_{r}"), F.lit(False))
     return joined.withColumn(failed, base_failed(names)).withColumn(kept, ~F.col(failed) & ~bad).drop("_stratum", *[f"_cut_{r}" for r in RULES])
+
+
+def filtered(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), *, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text", quality_col: str = "quality") -> DataFrame:
+    """The documents that the rules keep, with their own columns; cutoffs come from those of them that have labels."""
+    marked = labels.filter(F.col(quality_col).isin(0, 1)).select(F.col(id_col).alias("_label_id")).distinct()
+    labelled = docs.select(id_col, stratum_col, text_col).join(marked, F.col(id_col) == F.col("_label_id"), "left_semi")
+    counted, names = with_counts(labelled, text_col, keep=[id_col, stratum_col])
+    cut = stash(cutoffs(counted, names, labels, risk, id_col=id_col, stratum_col=stratum_col, quality_col=quality_col), "cutoffs")
+    counted, names = with_counts(docs, text_col)
+    judged = with_verdict(counted, names, cut, stratum_col=stratum_col)
+    return judged.filter(F.col(judged.columns[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
