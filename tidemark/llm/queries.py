@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, minhash, mixing, pages, quality, secrets, tokens, toxicity
+from tidemark.llm import decontam, minhash, mixing, pages, quality, secrets, suffix, tokens, toxicity
 from tidemark.llm.common import stash, table
 
 
@@ -34,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(counted, names, cut).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, groups = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold_pct=85)
     return minhash.verdicts(rows, groups).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -55,6 +59,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_token_output, op4_quality_rules, op7_minhash_dedup, op8_toxicity, op9_html_extraction, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_token_output, op4_quality_rules, op6_suffix_dedup, op7_minhash_dedup, op8_toxicity, op9_html_extraction, op10_decontamination)}
 
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_secret_scan": secrets.SQL, "op7_minhash_dedup": minhash.SQL, "op10_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_secret_scan": secrets.SQL, "op6_suffix_dedup": suffix.SQL, "op7_minhash_dedup": minhash.SQL, "op10_decontamination": decontam.SQL}
