@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, minhash, mixing, pages, quality, secrets, suffix, tokens, toxicity
+from tidemark.llm import decontam, lm, minhash, mixing, pages, quality, secrets, suffix, tokens, toxicity
 from tidemark.llm.common import stash, table
 
 
@@ -34,6 +34,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(counted, names, cut).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model, rest = lm.fit(docs.filter(~held_out))
+    scored = lm.score(docs, model, rest, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_token_output, op4_quality_rules, op6_suffix_dedup, op7_minhash_dedup, op8_toxicity, op9_html_extraction, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_token_output, op4_quality_rules, op5_lm_scoring, op6_suffix_dedup, op7_minhash_dedup, op8_toxicity, op9_html_extraction, op10_decontamination)}
 
 SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_secret_scan": secrets.SQL, "op6_suffix_dedup": suffix.SQL, "op7_minhash_dedup": minhash.SQL, "op10_decontamination": decontam.SQL}
