@@ -12,9 +12,9 @@ def probes(bits_per_key: int) -> int:
 
 def positions(key: Column, bits: int, k: int) -> Column:
     """The bit numbers of a key, by double hashing."""
-    h = F.xxhash64(key)
-    step = F.shiftrightunsigned(h, 17).bitwiseOR(F.shiftleft(h, 47))
-    return F.array(*[F.pmod(h.bitwiseAND((1 << 62) - 1) / 4 + step.bitwiseAND((1 << 31) - 1) * i, F.lit(bits)).cast("bigint") for i in range(k)])
+    first = F.pmod(F.xxhash64(key), F.lit(bits))
+    step = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits - 1)) + 1
+    return F.array(*[F.pmod(first + step * i, F.lit(bits)).cast("bigint") for i in range(k)])
 
 
 def build(keys: DataFrame, n: int, bits_per_key: int = 10) -> tuple[DataFrame, int, int]:
