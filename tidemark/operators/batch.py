@@ -50,17 +50,19 @@ def entry_size() -> Column:
     return F.when(F.col("op") == PUT, F.octet_length("key") + F.octet_length("value") + PUT_OVERHEAD).otherwise(F.octet_length("key") + DELETE_OVERHEAD)
 
 
-def assign_sequences(ops: DataFrame, base: int, order: str = "ord") -> DataFrame:
-    """seq = base + place in ``order``, without funnelling a bulk load through one task.
+def assign_sequences(ops: DataFrame, base: int, order: str = "ord", width: int = 4096) -> DataFrame:
+    """seq = base + place in the whole-number column ``order``, without funnelling a bulk load through one task.
 
-    Operations are range-partitioned by their order, counted per partition, and
-    numbered by the counts before plus the place within.
+    Operations fall into stretches of ``width`` order values, the stretches are
+    counted, and a place is the counts before plus the place within.  Stretches
+    depend on the values alone, so a repeated task numbers alike.  Operations of
+    equal order take their places in key order.
     """
-    ranged = ops.repartitionByRange(order).sortWithinPartitions(order).withColumn("_mid", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_at", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ranged.join(before, "_part").withColumn("seq", F.lit(base) + 1 + F.col("_before") + F.col("_at")).drop("_mid", "_part", "_at", "_before")
+    cut = ops.withColumn("_range", F.floor(F.col(order) / width))
+    counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order, "key", "op", "value"))
+    return cut.join(before, "_range").withColumn("seq", F.lit(base) + F.col("_before") + within).drop("_range", "_before")
 
 
 def flush_runs(log: DataFrame, limit: int, buckets: int = 4096) -> DataFrame:
