@@ -106,18 +106,20 @@ def fit(texts: pa.Array, toxic: np.ndarray, spec: Spec = Spec()) -> Model:
     if not n_pos or not n_neg:
         return Model(np.zeros(0, np.int64), np.zeros(0), prior)
     df = {True: np.zeros(1 << BITS, np.int32), False: np.zeros(1 << BITS, np.int32)}
-    cuts = list(textvec.slices(texts))
+    cuts = list(textvec.slices(texts, 256 << 10))  # small ones: a slice's n-grams take a hundred times its bytes
     for i, j in cuts:
         r, f, _ = presence(texts.slice(i, j - i))
         for flag in df:
             df[flag] += np.bincount(f[toxic[i:j][r] == flag], minlength=1 << BITS).astype(np.int32)
-    p, q = (df[True] + 0.5) / (n_pos + 1), (df[False] + 0.5) / (n_neg + 1)
-    ratio = np.log(p / q)
-    sure = np.abs(ratio) / np.sqrt(1 / (df[True] + 0.5) + 1 / (df[False] + 0.5))
-    sure[df[True] + df[False] < spec.least] = 0
-    grams = np.argsort(-sure, kind="stable")[: spec.features]
-    grams = np.sort(grams[sure[grams] > 3])
-    model = Model(grams, ratio[grams], prior)
+    known = np.flatnonzero(df[True] + df[False] >= spec.least)
+    with_it, without = df[True][known], df[False][known]
+    ratio = np.log((with_it + 0.5) / (n_pos + 1)) - np.log((without + 0.5) / (n_neg + 1))
+    sure = np.abs(ratio) / np.sqrt(1 / (with_it + 0.5) + 1 / (without + 0.5))
+    del df, with_it, without
+    best = np.argsort(-sure, kind="stable")[: spec.features]
+    best = np.sort(best[sure[best] > 3])
+    grams, ratio = known[best], ratio[best]
+    model = Model(grams, ratio, prior)
     wanted = model.lookup()
     rows, feats = [], []
     for i, j in cuts:
@@ -125,7 +127,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, spec: Spec = Spec()) -> Model:
         rows.append(r + i)
         feats.append(f)
     r, f = np.concatenate(rows), np.concatenate(feats)
-    scale, y, n = ratio[grams], toxic.astype(float), len(toxic)
+    scale, y, n = ratio, toxic.astype(float), len(toxic)
     w, bias = np.zeros(len(grams)), prior
     m, v = np.zeros(len(grams) + 1), np.zeros(len(grams) + 1)
     for step in range(1, spec.steps + 1):  # Adam on the whole sample
