@@ -103,7 +103,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     stretches = runs.select(F.explode("stretches").alias("stretch"))
     twice = stash(stretches.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("stretch"), "stretches")
     places = runs.select("_ref", "n_words", "start", F.posexplode("stretches").alias("_i", "stretch")).select("_ref", "n_words", (F.col("start") + F.col("_i")).alias("at"), "stretch")
-    hits = places.join(maybe_broadcast(twice, twice.count(), 24), "stretch", "left_semi")
+    hits = places.join(twice, "stretch", "left_semi")  # as large as the repeated text: shuffled at every size
     starts = hits.groupBy("_ref").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("at")).alias("starts"))
     out = T.StructType([T.StructField("_found", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_repeated", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.StringType())])
 
