@@ -16,6 +16,10 @@ adverts, forms, scripts, styles, comments of readers) is left out whether its
 text varies or not; a page without an article or main element keeps all other
 varying blocks that are not mostly links.
 
+Elements nested deeper than 200 levels keep their text and their role but stand
+outside the wrapper, and lists of children too long for the quadratic matching
+(a million pairs) are aligned greedily in order.
+
 Null or empty html gives an empty text; a null or odd url is a host of its own
 kind (""); repeated pages count once for each row; pages cut off in the middle
 of a tag, element or script are read up to there; extra columns are ignored
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -49,6 +54,7 @@ _NOT_PROSE_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|side-?bar|widget|nav\w*|menu|breadcrumbs?|footer|site-header|page-header|masthead|comments?|replies|disqus|respond|share|sharing|social|related|recommended|pagination|pager|search\w*|login)(?=$|[\s_-])",
     re.I,
 )
+_DEEPEST, _PAIRS = 200, 1_000_000
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -75,6 +81,7 @@ def parse(html: str) -> tuple[Node, list[Block]]:
     """The tree of block elements of a page and its text blocks in page order."""
     root = Node("", "")
     open_: list[tuple[Node, bool, bool]] = [(root, True, False)]  # node, prose, in an article
+    held: dict[str, int] = {}  # open elements by tag
     blocks: list[Block] = []
     run: list[str] = []
     linked, in_link, at, n = 0, False, 0, len(html)
@@ -90,6 +97,11 @@ def parse(html: str) -> tuple[Node, list[Block]]:
             run.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        for x, _, _ in open_[k:]:
+            held[x.tag] -= 1
+        del open_[k:]
+
     def say(text: str) -> None:
         nonlocal linked
         if text:
@@ -111,10 +123,8 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                 in_link = False
             elif tag in _BLOCK:
                 flush()
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k][0].tag == tag:
-                        del open_[k:]
-                        break
+                if held.get(tag):
+                    close(max(k for k in range(len(open_)) if open_[k][0].tag == tag) if open_[-1][0].tag != tag else len(open_) - 1)
             elif tag in ("td", "th"):
                 run.append(" ")
             continue
@@ -127,16 +137,15 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         elif tag == "body":  # a head that was never closed ends here
             flush()
             while len(open_) > 1 and open_[-1][0].tag == "head":
-                open_.pop()
+                close(len(open_) - 1)
         if tag in _BLOCK or tag == "head":
             flush()
-            if tag != "p" or open_[-1][0].tag == "p":
-                while open_[-1][0].tag in ("p",):  # a paragraph holds no blocks
-                    open_.pop()
+            if open_[-1][0].tag == "p":  # a paragraph holds no blocks
+                close(len(open_) - 1)
             if tag in _ENDS:
                 for k in range(len(open_) - 1, 0, -1):
                     if open_[k][0].tag in _ENDS[tag]:
-                        del open_[k:]
+                        close(k)
                         break
                     if open_[k][0].tag in _SCOPE:
                         break
@@ -145,10 +154,12 @@ def parse(html: str) -> tuple[Node, list[Block]]:
             names = " ".join(x for found in _CLASS.findall(m[3]) for x in found if x) if "=" in m[3] else ""
             node = Node(f"{tag} {_DIGITS.sub('#', names)}" if names else tag, tag)
             parent, prose, article = open_[-1]
-            parent.kids.append(node)
+            if len(open_) < _DEEPEST:
+                parent.kids.append(node)
             main = tag in ("article", "main") or "main" in names.split()
             bad = tag in _NOT_PROSE or (tag == "header" and not article) or (names and tag not in ("html", "body") and _NOT_PROSE_WORD.search(names))
             open_.append((node, prose and not bad, article or (main and prose)))
+            held[tag] = held.get(tag, 0) + 1
         elif tag in ("br", "td", "th"):
             run.append(" ")
     flush()
@@ -196,6 +207,16 @@ def _align(xs: list[Node], ys: list[Node]) -> tuple[int, list[tuple[int, int]]]:
     """Weight and pairs of the best ordered match of two lists of children."""
     if [x.sig for x in xs] == [y.sig for y in ys]:  # the common case: every child has its partner
         return sum(1 + _align(x.kids, y.kids)[0] for x, y in zip(xs, ys)), [(i, i) for i in range(len(xs))]
+    if len(xs) * len(ys) > _PAIRS:
+        pairs, places, j = [], {}, 0
+        for k, y in enumerate(ys):
+            places.setdefault(y.sig, []).append(k)
+        for i, x in enumerate(xs):
+            k = next((k for k in places.get(x.sig, ())[bisect_left(places.get(x.sig, ()), j) :][:1]), None)
+            if k is not None:
+                pairs.append((i, k))
+                j = k + 1
+        return len(pairs), pairs
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     gain: dict[tuple[int, int], int] = {}
     for i, x in enumerate(xs):
