@@ -62,14 +62,15 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once a session."""
+    """Sends these modules to the executors' Python, once a session; the rest of the library stays behind."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = Path(__file__).resolve().parent.parent
     path = os.path.join(tempfile.mkdtemp(), "tidemark_package.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for f in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
+        z.writestr(f"{top.name}/__init__.py", "")
+        for f in sorted((top / "llm").glob("*.py")):
             z.write(f, f"{top.name}/{f.relative_to(top)}")
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
