@@ -1,13 +1,9 @@
 import random
 
-import pytest
-
 from tidemark.llm import components
 
 
-@pytest.mark.parametrize("one_task", [True, False])
-def test_against_union_find(spark, monkeypatch, one_task):
-    monkeypatch.setattr(components, "ONE_TASK", 10**6 if one_task else 0)
+def test_against_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
     parent = {}

@@ -36,13 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the session's JVM ends."""
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, where = _scratch_files(spark, path)
     fs.deleteOnExit(where)
     return path
 
 
+def _scratch_files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+#: tables written by ``stash`` (held, so that their ids stay theirs) and their paths, until they are discarded
+_stashed: dict[int, tuple[DataFrame, str]] = {}
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and reads it back.
 
@@ -53,7 +60,16 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stashed[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the scratch files behind tables of ``stash`` once nothing reads them any more."""
+    for df in tables:
+        fs, where = _scratch_files(df.sparkSession, _stashed.pop(id(df))[1])
+        fs.delete(where, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -61,6 +77,30 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: rows of one key that a join keeps together
+SPREAD = 4096
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, loads: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (a row per key) on ``key``, where a key may hold any share of ``many``.
+
+    ``loads`` is (key, n): the rows of ``many`` per key.  Of its keys with more
+    than SPREAD rows, at most a SPREAD-th of all rows, the rows are dealt over
+    n / SPREAD parts and the one row of the other side is put in each.  Without
+    such keys it is a plain join.
+    """
+    hot = loads.filter(F.col("n") > SPREAD)
+    n_hot = hot.count()
+    if not n_hot:
+        return many.join(one, key, how)
+    parts, part = fresh(many.join(one.limit(0), key), "_parts", "_part")
+    hot = maybe_broadcast(hot.select(key, F.ceil(F.col("n") / SPREAD).cast("int").alias(parts)), n_hot, 40)
+    at = F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.col(parts)).cast("int"))
+    dealt = many.join(hot, key, "left").withColumn(part, at).drop(parts)
+    copied = one.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(copied, [key, part], how).drop(part)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends these modules to the executors' Python, once a session; the rest of the library stays behind."""
     app = spark.sparkContext.applicationId

@@ -4,22 +4,14 @@ Every round is two aggregations and two joins on the edges; the number of
 rounds grows with the logarithm of the longest chain.  A node of very many
 edges is one partial aggregate per task, and its edges are split by skewed-join
 handling.  Each round is written to the shared folder, which cuts the lineage.
-
-An edge list counted at no more than ``ONE_TASK`` edges is solved by one task
-in memory instead, with the same result.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tidemark.llm.common import ship, stash
 
-ONE_TASK = 1_000_000
+from tidemark.llm.common import discard, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,40 +29,6 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hooked.filter("a != b").distinct()
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least node of each node's component: minima along edges, then pointer jumps, until nothing moves."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while True:
-            jumped = new[new]
-            if (jumped == new).all():
-                break
-            new = jumped
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    ship(edges.sparkSession)
-    kind = edges.schema["a"].dataType
-    schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
-
-    def solve(batches):
-        table = pa.Table.from_batches(list(batches), schema=None)
-        both = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks])
-        names = both.unique().sort() if not pa.types.is_binary(both.type) else pa.array(sorted(both.unique().to_pylist()), both.type)
-        place = dict(zip(names.to_pylist(), range(len(names))))
-        a, b = (np.fromiter(map(place.__getitem__, table.column(c).to_pylist()), np.int64, table.num_rows) for c in ("a", "b"))
-        yield pa.RecordBatch.from_arrays([names, names.take(pa.array(_roots(a, b, len(names))))], names=["node", "root"])
-
-    return edges.coalesce(1).mapInArrow(lambda it: (r for it_ in [list(it)] if it_ for r in solve(it_)), schema)
-
-
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, root for every node of ``edges`` (columns a and b): root is the least node of its component.
 
@@ -79,12 +37,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = stash(edges.filter("a != b").distinct(), label)
     seen = mark(edges)
-    if seen[0] <= ONE_TASK:
-        return _in_one_task(edges)
     while seen[0]:
-        edges = stash(_star(_star(edges, True), False), label)
+        before, edges = edges, stash(_star(_star(edges, True), False), label)
+        discard(before)
         now = mark(edges)
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    out = stash(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), label)
+    discard(edges)
+    return out

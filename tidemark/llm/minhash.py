@@ -8,27 +8,30 @@ linked with nothing.
    buckets, a bucket keeps of its least hash the number of leading zeros and 10
    bits of mantissa, 16 bits in all.  Equal sets get one 128-bit class key, so
    exact copies collapse before anything is compared.
-2. The registers are banded.  A set is filed under its size class and the next
-   smaller one, so sets too different in size never meet.  A size class uses as
-   many bands as the largest symmetric difference that two linked sets of it
-   can have, plus 3 (at most 42): up to about 190 shingles, linked sets agree
-   in a band for certain; beyond, a link at 0.85 is missed with probability
-   (1 - 0.85**6)**42 = 2e-9.
-3. Members of a band's bucket are hooked to its least member; the connected
-   components of these hooks hold all links.  Components are cut into blocks of
-   bounded size, and each pair of blocks is one task.
-4. In a task, register agreement, corrected for accidental collisions, rules
-   out pairs more than 4.5 standard errors below the threshold; the others are
-   confirmed on the full sets, unless already connected.  A task returns a
-   spanning forest, never all pairs.
+2. Empty registers borrow from filled ones in an order of their own, so small
+   sets have 252 filled ones too; 42 bands of 6 registers file each set in 42
+   buckets.  Two sets of similarity J miss each other with probability
+   (1 - J**6)**42: 2e-9 at 0.85, 3e-6 at 0.8.
+3. Each set is paired with one member of each of its buckets, never with all:
+   with the one whose buckets hold most, likely the text that others are copies
+   of.  Register agreement, less the chance agreement of two sets of these
+   sizes, rules out pairs more than 4.5 standard errors below the threshold
+   (a link is lost with probability 3e-6); the others are confirmed on the full
+   sets, first one pair per set, then those between sets not yet connected.
+4. A bucket that still holds several groups is searched: its members outside the
+   largest one are compared with all members of other groups, block by block,
+   each pair in its first common bucket only, on registers and then on full
+   sets.  So every two members of a bucket are either connected or were
+   compared.  A block yields a spanning forest of its links, never its pairs.
 5. The components of the confirmed links are the groups.
 
-The work of 4 is quadratic in a component of *different* texts, spread over its
-block pairs; exact copies cost nothing there.
+Rows grow with the members of buckets, whatever the size of a group of near
+copies.  The comparisons of 4 grow with a bucket's members times those that its
+largest group leaves outside; they are spread over blocks.
 
 Null texts are empty; a null id belongs to its group but is never its smallest
-id; repeated rows are exact copies; extra columns pass through; an empty table
-gives no rows.
+id; repeated rows are exact copies; extra columns pass through, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,12 +45,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec
-from tidemark.llm.common import maybe_broadcast, ship, stash, text_or_empty
+from tidemark.llm.common import discard, fresh, maybe_broadcast, ship, spread_join, stash, text_or_empty
 from tidemark.llm.components import components
 
 SHINGLE, REGISTERS, MANTISSA, BANDS = 5, 252, 10, 42
-#: of a block: documents and shingles
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+#: of a block: members of one bucket, and their shingles
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,36 +92,67 @@ def registers(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def size_class(n: np.ndarray, threshold: float) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) / -math.log(threshold) + 1e-9).astype(np.int64)
+#: for each register, the order in which it looks for a filled one
+_LENDERS = np.argsort(textvec.mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(77)).reshape(REGISTERS, REGISTERS), axis=1)
 
 
-def bands_of(size_class: int, threshold: float) -> int:
-    """Bands of a size class: one more than two linked sets of its sizes can spoil, and 2 to spare."""
-    widest = threshold ** -(size_class + 2)
-    return max(1, min(BANDS, int((1 - threshold) / (1 + threshold) * 2 * widest + 1e-6) + 3))
+def filled(sketch: np.ndarray) -> np.ndarray:
+    """Sketches whose empty registers hold the value of the first filled one in their order; all need one filled register."""
+    out = sketch.copy()
+    row, slot = np.nonzero(sketch == 0)
+    for attempt in range(REGISTERS):
+        if not len(row):
+            break
+        lent = sketch[row, _LENDERS[slot, attempt]]
+        out[row, slot] = lent
+        left = lent == 0
+        row, slot = row[left], slot[left]
+    return out
 
 
-def bucket_keys(sketch: np.ndarray, n: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """The buckets each set is filed under; sets that only an equal one can match have none."""
-    own = size_class(n, threshold)
-    least = math.ceil(threshold / (1 - threshold) - 1e-9)  # a smaller set links only with its equal
-    out: list[list[np.ndarray]] = [[] for _ in n]
+def bucket_keys(sketch: np.ndarray) -> np.ndarray:
+    """The BANDS buckets of every set."""
     spread = textvec.mix(np.arange(REGISTERS, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
-    for c in np.unique(np.concatenate([own, own - 1])):
-        rows = np.flatnonzero(((own == c) | (own - 1 == c)) & (n >= least))
-        if not len(rows):
-            continue
-        p = bands_of(int(c), threshold)
-        edges = np.arange(p) * REGISTERS // p
-        reg = sketch[rows]
-        total = np.add.reduceat(textvec.mix(reg.astype(np.uint64) * spread + spread) * (reg > 0), edges, axis=1)
-        full = np.maximum.reduceat(reg, edges, axis=1) > 0
-        name = textvec.mix(np.arange(p, dtype=np.uint64) + np.uint64((int(c) + 9) << 20))
-        keys = textvec.mix(total ^ name).astype(np.int64)
-        for i, r in enumerate(rows):
-            out[r].append(keys[i, full[i]])
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+    each = textvec.mix(filled(sketch).astype(np.uint64) * spread + spread)
+    return textvec.mix(each.reshape(len(sketch), BANDS, -1).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The probability that two disjoint sets of n and m shingles agree in a register.
+
+    The least hashes of a bucket are exponential with rates n and m over
+    REGISTERS; both must fall into one of the cells 2**-(z + 1 + MANTISSA) wide
+    that z leading zeros have.
+    """
+    a, b = np.asarray(n) / REGISTERS, np.asarray(m) / REGISTERS
+    z = 2.0 ** -np.arange(40)
+    both = (a + b)[..., None]
+    cells = (z / 2 ** (MANTISSA + 1) * (np.exp(-both * z / 2) - np.exp(-both * z))).sum(axis=-1)
+    either = -np.expm1(-(a + b))  # registers that are empty in both don't count
+    return a * b / (a + b) * cells / either
+
+
+def estimate(one: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of sketch rows, corrected for chance agreement, and the registers it rests on."""
+    used = ((one > 0) | (others > 0)).sum(axis=-1)
+    equal = ((one == others) & (one > 0)).sum(axis=-1)
+    p = chance(n, m)
+    return (equal / used - p) / (1 - p), used
+
+
+def likely(one: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs of sketch rows may be linked."""
+    j, used = estimate(one, others, n, m)
+    fits = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+    return fits & (j >= threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / used) - 0.01)
+
+
+def linked(one: np.ndarray, other: np.ndarray, threshold_pct: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if len(one) > len(other):
+        one, other = other, one
+    shared = int((other[np.searchsorted(other, one).clip(max=len(other) - 1)] == one).sum())
+    return 100 * shared >= threshold_pct * (len(one) + len(other) - shared)
 
 
 def class_keys(values: np.ndarray, first: np.ndarray) -> list[bytes | None]:
@@ -133,115 +167,248 @@ def class_keys(values: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return [both[i].tobytes() if n[i] else None for i in range(len(n))]
 
 
-def sketched(docs: DataFrame, *, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """_id, _hash (of the text), n_shingles, cls and keys per document: everything but the text."""
+def sketched(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """_id, _hash (of the text), n_shingles, cls and sketch per document: everything but the text."""
     ship(docs.sparkSession)
     given = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text_or_empty(F.col(f"`{text_col}`"))).alias("_hash"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    schema = T.StructType([*given.schema.fields[:2], T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*given.schema.fields[:2], T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches):
         for b in batches:
             for i, j in textvec.slices(b.column(2)):
                 part = b.slice(i, j - i)
                 values, first = shingle_sets(part.column(2))
-                n = np.diff(first)
-                keys = bucket_keys(registers(values, first), n, threshold)
-                at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(class_keys(values, first), pa.binary()), lists], names=schema.names)
+                sketch = pa.array([r.tobytes() for r in registers(values, first)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(class_keys(values, first), pa.binary()), sketch], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
-def confirmed_links(values: np.ndarray, first: np.ndarray, left: np.ndarray, threshold_pct: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a block, or between two.
+def _sketch_rows(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), REGISTERS)
 
-    ``left`` marks the first block's sets, or is all false for a block with
-    itself; only pairs across are compared then.
-    """
-    n = np.diff(first)
-    count = len(n)
-    sketch = registers(values, first)
-    parent = np.arange(count)
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def _filed(classes: DataFrame, threshold: float) -> DataFrame:
+    """key, cls: the buckets of every set that may be linked with another than its equal."""
+    least = math.ceil(threshold / (1 - threshold) - 1e-9)
 
-    two = bool(left.any())
-    t = threshold_pct / 100
+    def run(batches):
+        for b in batches:
+            keys = bucket_keys(_sketch_rows(b.column("sketch"))) if b.num_rows else np.zeros((0, BANDS), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column("cls").take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], names=["key", "cls"])
+
+    return classes.filter(F.col("n") >= least).select("cls", "sketch").mapInArrow(run, "key long, cls binary")
+
+
+def _likely_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, rank) that their sketches don't rule out."""
+
+    def run(batches):
+        for t in batches:
+            for i in range(0, t.num_rows, 2048):
+                p = t.slice(i, 2048)
+                n, m = p.column("n").to_numpy(), p.column("m").to_numpy()
+                keep = pa.array(np.flatnonzero(likely(_sketch_rows(p.column("s")), _sketch_rows(p.column("t")), n, m, threshold)))
+                yield pa.RecordBatch.from_arrays([p.column(c).take(keep) for c in ("a", "b", "rank")], names=["a", "b", "rank"])
+
+    left = pairs.join(sets.select(F.col("cls").alias("a"), "n", F.col("sketch").alias("s")), "a")
+    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t"))
+    return spread_join(left, right, "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))).select("a", "b", "rank", "n", "m", "s", "t").mapInArrow(run, "a binary, b binary, rank long")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFrame:
+    """a, b, linked: the pairs, compared on their full sets."""
+
+    def run(batches):
+        last, theirs = None, None
+        for t in batches:
+            for i, j in textvec.slices(t.column("s")):
+                p = t.slice(i, j - i)
+                a, b = p.column("a"), p.column("b").to_pylist()
+                values, first = shingle_sets(p.column("s"))
+                told = np.zeros(p.num_rows, bool)
+                for k, name in enumerate(b):
+                    if name != last:  # the pairs of one b mostly come together
+                        theirs, last = shingle_sets(p.column("t").slice(k, 1))[0], name
+                    told[k] = linked(values[first[k] : first[k + 1]], theirs, threshold_pct)
+                yield pa.RecordBatch.from_arrays([a, p.column("b"), pa.array(told)], names=["a", "b", "linked"])
+
+    left = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("_text").alias("s")), "a")
+    right = texts.select(F.col("cls").alias("b"), F.col("_text").alias("t"))
+    return spread_join(left, right, "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))).select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary, linked boolean")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different groups."""
+    for side in "ab":
+        of = groups.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        pairs = spread_join(pairs, of, side, pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return pairs.filter("ra != rb").drop("ra", "rb")
+
+
+def compared(key: np.ndarray, cls: list[bytes], root: list[bytes], out: np.ndarray, probe: np.ndarray, texts: pa.Array, threshold_pct: int) -> list[tuple[bytes, bytes]]:
+    """Spanning forests of the links between groups, of blocks that follow one another.
+
+    ``key`` tells the bucket of each row, blocks are runs of equal ``key`` rows
+    in it.  ``probe`` rows meet the others; of two rows that are ``out`` both,
+    the lesser class is the probe.
+    """
+    sets: list[np.ndarray] = []
+    sketches, n = [], []
+    for i, j in textvec.slices(texts):
+        values, first = shingle_sets(texts.slice(i, j - i))
+        sets += [values[a:b] for a, b in zip(first[:-1], first[1:])]
+        sketches.append(registers(values, first))
+        n.append(np.diff(first))
+    sketch, n = np.concatenate(sketches), np.concatenate(n)
+    buckets = bucket_keys(sketch)
     forest = []
-    chance = 2.0**-MANTISSA / 3  # of two different minima to fall on one register value
-    starts = np.flatnonzero(left) if two else np.arange(count)
-    for i in starts:
-        others = np.flatnonzero(~left) if two else np.arange(i + 1, count)
-        others = others[(100 * np.minimum(n[i], n[others]) >= threshold_pct * np.maximum(n[i], n[others]))]
-        if not len(others):
-            continue
-        used = (sketch[i] > 0) | (sketch[others] > 0)
-        total = used.sum(axis=1)
-        equal = ((sketch[i] == sketch[others]) & used).sum(axis=1)
-        estimate = (equal / total - chance) / (1 - chance)
-        others = others[estimate >= t - 4.5 * np.sqrt(t * (1 - t) / total) - 0.01]
-        here = root(i)
-        others = np.array([o for o in others if root(o) != here], np.int64)
-        if not len(others):
-            continue
-        mine = values[first[i] : first[i + 1]]
-        lengths = n[others]
-        at = np.repeat(first[others], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        theirs = values[at]
-        found = mine[np.searchsorted(mine, theirs).clip(max=len(mine) - 1)] == theirs
-        shared = textvec.per_row_sum(found, np.concatenate([[0], np.cumsum(lengths)]))
-        for o in others[100 * shared >= threshold_pct * (n[i] + lengths - shared)]:
-            a, b = root(i), root(o)
-            if a != b:
-                parent[b] = a
-                forest.append((int(i), int(o)))
+    new = np.any(key[1:] != key[:-1], axis=1)
+    cuts = np.flatnonzero(new) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+        parent = {r: r for r in root[lo:hi]}
+
+        def top(r: bytes) -> bytes:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        band = int(np.flatnonzero(buckets[lo] == key[lo, 0])[0])
+        others = lo + np.flatnonzero(~probe[lo:hi])
+        for i in (lo + np.flatnonzero(probe[lo:hi])).tolist():
+            mine = top(root[i])
+            to = others[[top(root[k]) != mine and not (out[k] and cls[k] < cls[i]) for k in others.tolist()]]
+            for at in range(0, len(to), 512):
+                part = to[at : at + 512]
+                part = part[likely(sketch[i], sketch[part], n[i], n[part], threshold_pct / 100)]
+                part = part[~(buckets[part, :band] == buckets[i, :band]).any(axis=1)]
+                for k in part.tolist():
+                    a, b = top(root[i]), top(root[k])
+                    if a != b and linked(sets[i], sets[k], threshold_pct):
+                        parent[a] = b
+                        forest.append((cls[i], cls[k]))
     return forest
 
 
+def _searched(held: DataFrame, groups: DataFrame, sets: DataFrame, texts, threshold_pct: int) -> DataFrame:
+    """a, b: links that connect different groups within a bucket.
+
+    Of a bucket with several groups, the members outside the largest one
+    (probes) meet all members, in blocks bounded by BLOCK and BLOCK_SHINGLES.
+    ``texts`` gives cls, _text of the classes of a table.
+    """
+    ship(held.sparkSession)
+    placed = held.filter("cls != rep").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = stash(placed.join(sets.select("cls", F.col("n").alias("size")), "cls").select("key", "cls", "root", "size"), "placed")
+    per_group = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    mixed = per_group.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("main")).filter("groups > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("key", "n", F.col("main.root").alias("main"), blocks(F.col("n"), F.col("size")).alias("rows"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("cols"))
+    mixed = stash(mixed, "mixed")
+    members = spread_join(placed.select("key", "cls", "root"), mixed.drop("n"), "key", mixed.select("key", "n"))
+    members = stash(members.withColumn("out", F.col("root") != F.col("main")).drop("main"), "members")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")
+    rows = members.select("key", "cls", "root", "out", F.lit(False).alias("probe"), dealt("rows").alias("row"), upto("cols").alias("col"))
+    cols = members.filter("out").select("key", "cls", "root", "out", F.lit(True).alias("probe"), upto("rows").alias("row"), dealt("cols").alias("col"))
+    met = rows.unionByName(cols).join(texts(members), "cls")
+    met = met.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col").select("key", "row", "col", "cls", "root", "out", "probe", "_text")
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table):
+            if t.num_rows:
+                key = np.stack([t.column(c).to_numpy() for c in ("key", "row", "col")], axis=1)
+                flags = [t.column(c).to_numpy() for c in ("out", "probe")]
+                found = compared(key, t.column("cls").to_pylist(), t.column("root").to_pylist(), *flags, t.column("_text").combine_chunks(), threshold_pct)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            waiting.append(batch)
+            ends = [batch.column(c).to_numpy() for c in range(3)]
+            last = np.flatnonzero(np.any([k != k[-1] for k in ends], axis=0))
+            if not len(last) and len(waiting) > 1 and all(waiting[0].column(c)[0] == batch.column(c)[0] for c in range(3)):
+                continue  # one block goes on
+            t = pa.Table.from_batches(waiting)
+            whole = t.num_rows - batch.num_rows + (int(last[-1]) + 1 if len(last) else 0)  # the last block may go on in the next batch
+            yield from done(t.slice(0, whole))
+            waiting = t.slice(whole).combine_chunks().to_batches()
+        if waiting:
+            yield from done(pa.Table.from_batches(waiting))
+
+    out = stash(met.mapInArrow(run, "a binary, b binary"), "found")
+    discard(placed, mixed, members)
+    return out
+
+
 def near_duplicates(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, groups): _id, _hash, n_shingles, cls per document; cls, root (of its group), component_id per class of equal sets."""
-    spark = docs.sparkSession
-    sk = stash(sketched(docs, id_col=id_col, text_col=text_col, threshold=threshold_pct / 100), "sketches")
-    classes = sk.filter("cls is not null").groupBy("cls").agg(F.min("_id").alias("least"), F.min(F.struct("_hash", "_id")).alias("at"), F.max("n_shingles").alias("n"), F.max("keys").alias("keys"))
-    classes = stash(classes, "classes")
-
-    filed = classes.select(F.explode("keys").alias("key"), "cls")
-    full = stash(filed.groupBy("key").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b"), "buckets")
-    hooks = filed.join(maybe_broadcast(full, full.count(), 40), "key").select(F.col("cls").alias("a"), "b")
-    found = stash(components(hooks, "hooks"), "candidates")
-
-    members = classes.select("cls", "at", "n").join(found.withColumnRenamed("node", "cls"), "cls")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    n_members, n_sizes = found.count(), sizes.count()
-    placed = (
-        members.join(maybe_broadcast(sizes, n_sizes, 40), "root")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        .select("root", "block", "blocks", "cls", F.col("at._id").alias("_at_id"), F.col("at._hash").alias("_at_hash"))
-    )
+    """(documents, groups): _id, _hash, n_shingles, cls per document; cls, copies, root (of its group), component_id and first per class of equal sets.
+
+    ``first`` is the document (none, _id, _hash) of a group that comes first by id, a null id last.
+    """
+    t = threshold_pct / 100
+    spent: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        spent.append(stash(df, label))
+        return spent[-1]
+
+    sk = keep(sketched(docs, id_col=id_col, text_col=text_col), "sketches")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("first")
+    classes = keep(sk.filter("cls is not null").groupBy("cls").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "classes")
+
+    filed = _filed(classes, t)
+    full = keep(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    size = full.count()
+    small = maybe_broadcast(full, size, 32)
+    filed = keep(filed.join(small, "key") if small is not full else spread_join(filed, full.select("key", F.col("n").alias("n")), "key", full), "filed")
+    ranks = keep(filed.groupBy("cls").agg(F.sum("n").alias("rank")), "ranks")
+    n_ranks = ranks.count()
+    reps = filed.join(maybe_broadcast(ranks, n_ranks, 40), "cls").groupBy("key").agg(F.max(F.struct("rank", "cls")).alias("rep"))
+    held = keep(spread_join(filed, reps.select("key", F.col("rep.cls").alias("rep"), F.col("rep.rank").alias("rank")), "key", full).select("key", "cls", "rep", "rank"), "held")
+    at = F.col("first._id").alias("_at_id"), F.col("first._hash").alias("_at_hash")
+    sets = keep(classes.select("cls", "n", "sketch", *at).join(maybe_broadcast(ranks, n_ranks, 40), "cls", "left_semi"), "sets")
+    texts = lambda of: _texts_of(docs, sets, of.select("cls").distinct(), id_col, text_col)
+
+    pairs = held.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b"), "rank").distinct()
+    pairs = keep(_likely_pairs(keep(pairs, "pairs"), sets, t), "likely")
+    links = pairs.select("a", "b").limit(0)
+    groups = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not pairs.isEmpty():
+        own = keep(texts(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), "texts")
+        chosen = keep(pairs.groupBy("a").agg(F.max(F.struct("rank", "b")).alias("best")).select("a", "best.b"), "chosen")
+        told = keep(_confirmed(chosen, own, threshold_pct), "told")
+        links = told.filter("linked").select("a", "b")
+        spent.append(components(links, "links"))
+        rest = keep(_apart(pairs.select("a", "b"), spent[-1]).join(told, ["a", "b"], "left_anti"), "rest")
+        told = keep(_confirmed(rest, own, threshold_pct), "told")
+        links = links.union(told.filter("linked").select("a", "b"))
+        groups = components(links, "links")
+        spent.append(groups)
+    found = _searched(held, groups, sets, texts, threshold_pct)
+    spent.append(found)
+    if not found.isEmpty():
+        groups = components(links.union(found), "links")
+        spent.append(groups)
+
+    joined = classes.select("cls", "copies", "first").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    joined = keep(joined, "joined")
+    least = joined.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    least = keep(least.select("root", "first", F.col("first._id").alias("component_id"), "n"), "least")
+    out = stash(spread_join(joined.drop("first"), least.drop("n"), "root", least.select("root", "n")).select("cls", "copies", "root", "component_id", "first"), "members")
+    rows = stash(sk.drop("sketch"), "rows")
+    discard(*spent)
+    return rows, out
+
+
+def _texts_of(docs: DataFrame, sets: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """cls, _text: one text for each of the named classes."""
+    n = named.count()
+    at = sets.select("cls", "_at_id", "_at_hash").join(maybe_broadcast(named, n, 24), "cls", "left_semi")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text_or_empty(F.col(f"`{text_col}`"))).alias("_hash"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    texts = texts.join(maybe_broadcast(placed, n_members, 80), F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_hash") == F.col("_at_hash")))
-    pairs = texts.select("root", "block", "cls", "_text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
-
-    def confirm(key, table):
-        cls, block = table.column("cls").to_pylist(), table.column("block").to_numpy()
-        keep = sorted({c: i for i, c in enumerate(cls)}.values())  # repeated rows are one set
-        values, first = shingle_sets(table.column("_text").take(keep).combine_chunks())
-        lo, hi = key[1].as_py(), key[2].as_py()
-        left = (block[keep] == lo) if lo != hi else np.zeros(len(keep), bool)
-        forest = confirmed_links(values, first, left, threshold_pct)
-        return pa.table({"a": pa.array([cls[keep[i]] for i, _ in forest], pa.binary()), "b": pa.array([cls[keep[j]] for _, j in forest], pa.binary())})
-
-    links = pairs.groupBy("root", "lo", "hi").applyInArrow(confirm, "a binary, b binary")
-    groups = stash(components(links, "links"), "groups")
-    joined = classes.select("cls", "least").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return sk.drop("keys"), stash(joined.join(least, "root").select("cls", "root", "component_id"), "members")
+    texts = texts.join(maybe_broadcast(at, n, 80), F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_hash") == F.col("_at_hash"))).select("cls", "_text")
+    return texts.groupBy("cls").agg(F.min("_text").alias("_text"))  # repeated rows are one
 
 
 def deduplicated(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,19 +417,22 @@ def deduplicated(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "doc
     Of repeated rows one stays. Documents keep their columns.
     """
     rows, groups = near_duplicates(docs, threshold_pct=threshold_pct, id_col=id_col, text_col=text_col)
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("_s")
-    stay = rows.join(groups, "cls").groupBy("root").agg(first).select("_s._id", "_s._hash")
-    stay = stash(stay.union(rows.filter("cls is null").select("_id", "_hash").distinct()), "stay").select(F.col("_id").alias("_stay_id"), F.col("_hash").alias("_stay_hash"))
-    here = docs.withColumn("_doc_hash", F.xxhash64(text_or_empty(F.col(f"`{text_col}`"))))
-    out = here.join(maybe_broadcast(stay, stay.count(), 40), F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")) & (F.col("_doc_hash") == F.col("_stay_hash")), "left_semi")
+    own, at, at_hash = fresh(docs, "_hash", "_stay_id", "_stay_hash")
+    stay = groups.filter("cls = root").select("first._id", "first._hash").union(rows.filter("cls is null").select("_id", "_hash").distinct())
+    stay = stash(stay.select(F.col("_id").alias(at), F.col("_hash").alias(at_hash)), "stay")
+    here = docs.withColumn(own, F.xxhash64(text_or_empty(F.col(f"`{text_col}`"))))
+    out = here.join(maybe_broadcast(stay, stay.count(), 40), F.col(f"`{id_col}`").eqNullSafe(F.col(at)) & (F.col(own) == F.col(at_hash)), "left_semi")
     if not rows.groupBy("_id", "_hash").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "_doc_hash"])
-    return out.drop("_doc_hash")
+        out = out.dropDuplicates([id_col, own])
+    discard(rows, groups)
+    return out.drop(own)
 
 
 def verdicts(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """_id, _hash, n_shingles, component_id and kept per document."""
-    out = rows.join(groups, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id")))
+    some = spread_join(rows.filter("cls is not null"), groups.select("cls", "component_id"), "cls", groups.select("cls", F.col("copies").alias("n")))
+    none = rows.filter("cls is null").withColumn("component_id", F.col("_id"))
+    out = some.select(*none.columns).union(none)
     return out.select("_id", "_hash", "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
