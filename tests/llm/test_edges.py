@@ -196,13 +196,13 @@ def test_near_duplicates_against_all_pairs(spark):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for docs_per_block in (512, 4):
-        minhash.BLOCK_DOCS, kept = docs_per_block, minhash.BLOCK_DOCS
+    for per_block in (2048, 4):
+        minhash.BLOCK, kept = per_block, minhash.BLOCK
         try:
             rows, groups = minhash.near_duplicates(df)
             got = {r["_id"]: r["component_id"] for r in minhash.verdicts(rows, groups).collect()}
         finally:
-            minhash.BLOCK_DOCS = kept
+            minhash.BLOCK = kept
         assert [got[i] for i in range(len(texts))] == root
 
 

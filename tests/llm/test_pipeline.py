@@ -58,7 +58,7 @@ def clean(docs, items):
     out = []
     for d in docs:
         w = words(d["text"])
-        if len(set().union(*(where.get(tuple(w[j : j + 8]), set()) for j in range(len(w) - 7)))) < 2:
+        if not any(tuple(w[j : j + 8]) in where for j in range(len(w) - 7)):
             out.append(d)
     return out
 
@@ -100,6 +100,39 @@ def test_run_equals_plain_python(spark):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == want
 
 
+def test_one_planted_passage_is_enough(spark, tmp_path):
+    items = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
+    item = max((i["text"] for i in items), key=lambda t: len(t.split()))
+    passage = " ".join(item.split()[:12])
+    rows = [(1, f"before {passage} after", "en", "a", 1), (2, "nothing of the kind stands in this text", "en", "a", 1), (3, passage.upper(), None, None, None), (4, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.decontamination(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 4]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeats, ties and columns with the names that the operators use inside."""
+    text = " ".join(f"word{i}" for i in range(40))
+    long = " ".join(f"w{i % 4999}" for i in range(60000))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, None, None, None, None), (None, text + " x", "en", None, 1), (None, None, None, None, None), (4, "", "fr", "a", 0), (5, long, "de", "b", 9), (6, long + " end", "de", "b", 9), (6, text[::-1], "es", "b", 9)]
+    names = ["_hash", "_id", "_copy", "kept", "copies", "_stratum", "_cut_symbols", "_stay_id", "_text", "n_words", "_keep_0", "_part", "size", "_key"]
+    docs = spark.createDataFrame([(*r, *["mine"] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    wanted = {
+        "quality rules": [1, 1, 6, None],  # the long texts repeat themselves
+        "near dedup": [1, 2, 4, 5, 6, None],
+        "decontamination": [1, 1, 2, 4, 5, 6, 6, None, None],
+    }
+    order = lambda ids: sorted(ids, key=lambda i: (i is None, i or 0))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and all(r[n] == "mine" for r in got for n in names), name
+        if name in wanted:
+            assert order(r["doc_id"] for r in got) == wanted[name], name
+    tokens = corpus_pipeline.token_output(spark, docs, SF).collect()
+    assert len(tokens) == len(rows) and sum(r["n_tokens"] == 1 for r in tokens) == 3
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near dedup", "decontamination", "mixing", "token output"]

@@ -87,14 +87,17 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     place = F.col("_before") + F.row_number().over(Window.partitionBy(*_CELL).orderBy("_hash"))
     crossed = lambda at: F.floor(F.col("_offset") + F.col("_rate") * at)
     out = sized.drop("_source").join(places, list(_CELL)).withColumn("_place", place)
-    out = out.withColumn("_copies", crossed(F.col("_place")) - crossed(F.col("_place") - 1))
+    # no rate exceeds ``cap``, but at very large places the sums are rounded
+    out = out.withColumn("_copies", F.least(crossed(F.col("_place")) - crossed(F.col("_place") - 1), F.lit(cap).cast("long")))
     added = (F.col("_size"), F.col("source_size"), F.col("target"), F.col("_copies"), F.col("_size") * F.col("_copies"))
     return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], *[c.alias(n) for c, n in zip(added, names)])
 
 
 def emit(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
     """The mix itself: each document as often as it was taken."""
-    return mixed.filter(F.col(copies) > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("_copy")).drop("_copy")
+    number = fresh(mixed, "_copy")[0]
+    own = [F.col(f"`{c}`") for c in columns]
+    return mixed.filter(F.col(copies) > 0).select(*own, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(number)).select(*own)
 
 
 SQL = r"""

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec
-from tidemark.llm.common import fresh, maybe_broadcast, ship, stash
+from tidemark.llm.common import discard, fresh, maybe_broadcast, ship, stash
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -217,21 +217,21 @@ def with_verdict(counted: DataFrame, names: dict[str, str], cut: DataFrame, *, s
     ``cut`` has a row per stratum; its rows are counted, and broadcast only
     when they are few.
     """
-    failed, kept = fresh(counted, "base_failed", "kept")
-    cut = cut.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
-    joined = counted.join(maybe_broadcast(cut, cut.count(), 100), F.col(stratum_col).cast("string").eqNullSafe(F.col("_stratum")), "left")
+    failed, kept, stratum, *limits = fresh(counted, "base_failed", "kept", "_stratum", *[f"_cut_{r}" for r in RULES])
+    cut = cut.select(F.col("stratum").alias(stratum), *[F.col(r).alias(c) for r, c in zip(RULES, limits)])
+    joined = counted.join(maybe_broadcast(cut, cut.count(), 100), F.col(f"`{stratum_col}`").cast("string").eqNullSafe(F.col(stratum)), "left")
     bad = F.lit(False)
-    for r in RULES:
-        bad = bad | F.coalesce(_share(r, names) >= F.col(f"_cut_{r}"), F.lit(False))
-    return joined.withColumn(failed, base_failed(names)).withColumn(kept, ~F.col(failed) & ~bad).drop("_stratum", *[f"_cut_{r}" for r in RULES])
+    for r, limit in zip(RULES, limits):
+        bad = bad | F.coalesce(_share(r, names) >= F.col(limit), F.lit(False))
+    return joined.withColumn(failed, base_failed(names)).withColumn(kept, ~F.col(failed) & ~bad).drop(stratum, *limits)
 
 
 def filtered(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), *, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text", quality_col: str = "quality") -> DataFrame:
     """The documents that the rules keep, with their own columns; cutoffs come from those of them that have labels."""
-    marked = labels.filter(F.col(quality_col).isin(0, 1)).select(F.col(id_col).alias("_label_id")).distinct()
-    labelled = docs.select(id_col, stratum_col, text_col).join(marked, F.col(id_col) == F.col("_label_id"), "left_semi")
-    counted, names = with_counts(labelled, text_col, keep=[id_col, stratum_col])
+    counted, names = with_counts(docs, text_col, keep=list(dict.fromkeys([id_col, stratum_col])))
+    counted = stash(counted, "quality")  # a few numbers a row: the labels meet these, never the texts
     cut = stash(cutoffs(counted, names, labels, risk, id_col=id_col, stratum_col=stratum_col, quality_col=quality_col), "cutoffs")
+    discard(counted)
     counted, names = with_counts(docs, text_col)
     judged = with_verdict(counted, names, cut, stratum_col=stratum_col)
     return judged.filter(F.col(judged.columns[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
