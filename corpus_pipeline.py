@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, minhash, mixing, quality, tokens
-from tidemark.llm.common import stash, table
+from tidemark.llm.common import discard, stash, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,9 +27,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold spans of fewer than two benchmark items."""
-    judged = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return judged.filter(~F.col(judged.columns[-1])).select(*docs.columns)
+    """Documents that hold no span of a benchmark item: one item is enough to go."""
+    judged = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), least_items=1)
+    return judged.filter(~F.col(f"`{judged.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    kept = []
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*kept)
+        kept = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(*kept)
+    return out
