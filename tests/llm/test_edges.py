@@ -246,24 +246,6 @@ def test_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
-def test_odd_pages():
-    import time
-
-    began = time.time()
-    deep = "<div>" * 30000 + "<p>deep text" + "</div>" * 10 + "</p>" * 30000
-    wrapper = pages.wrapper_of(pages.parse(deep)[0])
-    assert pages.extract(deep, pages.unpack(pages.pack(pages.merge(wrapper, pages.wrapper_of(pages.parse(deep)[0]))))) == "deep text"
-    long = "<article>" + "".join(f"<h3>t{i}</h3><p>x{i}</p>" for i in range(6000)) + "</article>"
-    w = pages.merge(pages.wrapper_of(pages.parse(long)[0]), pages.wrapper_of(pages.parse(long.replace("<h3>t0</h3>", ""))[0]))
-    assert pages.extract(long, w).count("\n\n") == 11999
-    assert time.time() - began < 60
-
-
-def test_tree_match():
-    a, b = pages.parse("<div><p>a<div><ul><li>x</ul></div></div>")[0], pages.parse("<div><div><ul><li>y</ul></div><p>z</div>")[0]
-    assert pages.tree_match(a, b) == 5
-
-
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "Three FOUR five, six-seven eight nine ten!"), (2, "w1 w2 w3"), (2, "w1 w2 w3"), (3, None), (4, "..."), (None, PASSAGE), (5, "x")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontam.contamination(docs.withColumn("n_hit", F.lit(1)), items).collect()}
