@@ -101,8 +101,17 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, loads: DataFrame, how
     return dealt.join(copied, [key, part], how).drop(part)
 
 
+#: Spark's own bound of an Arrow batch, and the one that Python workers of these operators get unless the session sets another
+_BATCH, _SMALL_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"), "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends these modules to the executors' Python, once a session; the rest of the library stays behind."""
+    """Sends these modules to the executors' Python, once a session; the rest of the library stays behind.
+
+    Also bounds Arrow batches to a few MB, so long texts don't pile up in a worker.
+    """
+    if spark.conf.get(_BATCH[0]) == _BATCH[1]:
+        spark.conf.set(_BATCH[0], _SMALL_BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

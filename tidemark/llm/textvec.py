@@ -114,7 +114,7 @@ def per_row_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def slices(col: pa.Array, limit: int = 2 << 20):
+def slices(col: pa.Array, limit: int = 1 << 20):
     """Row ranges (i, j) whose texts hold about ``limit`` bytes at most, one row at least."""
     _, offsets = column_bytes(col)
     i, n = 0, len(offsets) - 1
