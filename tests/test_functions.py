@@ -86,3 +86,17 @@ def test_plans_stay_pushed_down(spark):
     assert "GreaterThanOrEqual(props,a)" in plan and "LessThan(props,b)" in plan and "LessThanOrEqual(event_id,10)" in plan
     plan = visibility.visible(queries.kv_log(spark, "/root/testdata/sf0.01"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "partial_max" in plan
+
+
+def test_format_bytes_rounds_halves_to_even(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import codec
+
+    ns = [0, 1023, 1024, 1152, 1280, 1536, 1 << 20, (1 << 20) + 5243, 5 << 30, 1 << 40, (1 << 30) - 1]
+    want = []
+    for n in ns:
+        unit, k = next(((u, k) for u, k in (("GB", 30), ("MB", 20), ("KB", 10)) if n >= 1 << k), ("B", 0))
+        want.append(f"{n / (1 << k):.2f} {unit}" if k else f"{n} B")
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(ns)], "i int, n long").select("i", codec.format_bytes(F.col("n")).alias("t"))
+    assert [r["t"] for r in df.orderBy("i").collect()] == want

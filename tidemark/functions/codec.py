@@ -44,11 +44,14 @@ def unmasked_crc(masked: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes in the largest unit that leaves at least one, to a tenth by truncation."""
+    """Bytes in the largest unit that leaves at least one, to two decimals, halves to the even one."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for shift, unit in ((10, "KB"), (20, "MB"), (30, "GB")):
-        tenths = F.floor(n * 10 / F.lit(1 << shift)).cast("bigint")
-        out = F.when(n >= 1 << shift, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit(f" {unit}"))).otherwise(out)
+        whole, rest = F.shiftright(n * 100, shift), F.pmod(n * 100, F.lit(1 << shift))
+        up = (rest > 1 << shift - 1) | ((rest == 1 << shift - 1) & (whole % 2 == 1))
+        cents = whole + up.cast("int")
+        text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"), F.lit(f" {unit}"))
+        out = F.when(n >= 1 << shift, text).otherwise(out)
     return out
 
 

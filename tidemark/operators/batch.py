@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import running_totals
 from tidemark.schema import DELETE, PUT
 
 #: a put costs its key, its value and 16 bytes of a batch; a tombstone its key and 8
@@ -56,11 +57,11 @@ def assign_sequences(ops: DataFrame, base: int, order: str = "ord", width: int =
     Operations fall into stretches of ``width`` order values, the stretches are
     counted, and a place is the counts before plus the place within.  Stretches
     depend on the values alone, so a repeated task numbers alike.  Operations of
-    equal order take their places in key order.
+    equal order, which should be few, take their places in key order.
     """
     cut = ops.withColumn("_range", F.floor(F.col(order) / width))
     counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    before = running_totals(counts, "_range", "_n").withColumnRenamed("before", "_before")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(order, "key", "op", "value"))
     return cut.join(before, "_range").withColumn("seq", F.lit(base) + F.col("_before") + within).drop("_range", "_before")
 
@@ -68,13 +69,13 @@ def assign_sequences(ops: DataFrame, base: int, order: str = "ord", width: int =
 def flush_runs(log: DataFrame, limit: int, buckets: int = 4096) -> DataFrame:
     """``log`` with ``run``: the bytes written before an operation, in units of ``limit``.
 
-    The running total of entry sizes is a two-level prefix sum over sequence
-    ranges, so no task sorts the whole log.
+    The running total of entry sizes is a prefix sum over sequence ranges and
+    groups of them, so no task sorts the whole log.
     """
     size = F.octet_length("key") + F.when(F.col("op") == PUT, F.coalesce(F.octet_length("value"), F.lit(0))).otherwise(0) + 8 + ENTRY_OVERHEAD
     sized = log.withColumn("_size", size.cast("bigint")).withColumn("_range", F.floor(F.col("seq") / buckets))
     totals = sized.groupBy("_range").agg(F.sum("_size").alias("_all"))
-    before = totals.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_before"))
+    before = running_totals(totals, "_range", "_all").withColumnRenamed("before", "_before")
     within = Window.partitionBy("_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = sized.join(before, "_range").withColumn("_sum", F.col("_before") + F.sum("_size").over(within) - F.col("_size"))
     return out.withColumn("run", F.floor(F.col("_sum") / limit)).drop("_size", "_range", "_before", "_sum")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.visibility import newest
 from tidemark.schema import DELETE
 
+#: bytes that an entry of a run counts beside its key and value
+ENTRY = 16
+
 
 def merge_runs(*runs: DataFrame) -> DataFrame:
     """All versions of some runs as one; order comes with the sorted write, not here."""
@@ -59,8 +62,8 @@ def ttl_filter(ttl: int, current: int) -> Column:
 
 
 def statistics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """entries and bytes in and out, dropped entries, space amplification (0 without input)."""
-    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16
+    """entries and bytes in and out, dropped entries, space (bytes) and write (entries) amplification, 0 without input."""
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + ENTRY
     both = before.select(F.lit(True).alias("_in"), size.alias("_size")).unionByName(after.select(F.lit(False).alias("_in"), size.alias("_size")))
     out = both.agg(
         F.count_if("_in").alias("entries_in"),
@@ -68,5 +71,17 @@ def statistics(before: DataFrame, after: DataFrame) -> DataFrame:
         F.count_if(~F.col("_in")).alias("entries_out"),
         F.coalesce(F.sum(F.when(~F.col("_in"), F.col("_size"))), F.lit(0)).cast("bigint").alias("bytes_out"),
     )
-    amp = F.when(F.col("bytes_in") > 0, F.col("bytes_out") / F.col("bytes_in")).otherwise(0.0)
-    return out.select("*", (F.col("entries_in") - F.col("entries_out")).alias("dropped"), amp.alias("space_amp"))
+    amp = lambda what: F.when(F.col(f"{what}_in") > 0, F.col(f"{what}_out") / F.col(f"{what}_in")).otherwise(0.0)
+    return out.select("*", (F.col("entries_in") - F.col("entries_out")).alias("dropped"), amp("bytes").alias("space_amp"), amp("entries").alias("write_amp"))
+
+
+def report(before: list[dict], after: list[dict], seconds: float, moved: bool = False) -> dict:
+    """What a compaction did, from its manifest entries; a moved file was neither read nor written."""
+    of = lambda files, what: 0 if moved else sum(f[what] for f in files)
+    out = {"files_in": len(before), "files_out": len(after), "moved": moved, "elapsed": seconds}
+    for what, column in (("entries", "n"), ("bytes", "file_size")):
+        out[f"{what}_in"], out[f"{what}_out"] = of(before, column), of(after, column)
+    out["dropped"] = out["entries_in"] - out["entries_out"]
+    out["space_amp"] = out["bytes_out"] / out["bytes_in"] if out["bytes_in"] else 0.0
+    out["write_amp"] = out["entries_out"] / out["entries_in"] if out["entries_in"] else 0.0
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
+
 
 def fold(edits: DataFrame) -> DataFrame:
     """Live files after a list of edits (version, level, file_no, action add or delete, ...): the last action on a file counts."""
@@ -27,11 +29,21 @@ def for_key(files: DataFrame, key) -> DataFrame:
 
 
 def closure(files: DataFrame) -> DataFrame:
-    """Files with ``island``: the groups that overlap, directly or through others (gaps and islands)."""
-    order = Window.orderBy("min_key", "max_key", "file_no")
-    before = F.max("max_key").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(before.isNull() | (F.col("min_key") > before), 1).otherwise(0)
-    return files.withColumn("_start", starts).withColumn("island", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+    """Files with ``island``: the groups that overlap, directly or through others (gaps and islands).
+
+    Ranges of files by their least key hand on the greatest key so far and the
+    number of islands begun.
+    """
+    order = [F.asc("min_key"), F.asc("max_key"), F.asc("file_no")]
+    rows = ordered.ranged(files, *order)
+    reach = ordered.carried(rows.groupBy("_part").agg(F.max("max_key").alias("m")), _reach=F.max("m").over(ordered.earlier()))
+    here = Window.partitionBy("_part").orderBy(*order)
+    before = F.greatest(F.max("max_key").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))  # nulls don't count
+    marked = rows.join(reach, "_part").withColumn("_before", before)
+    marked = marked.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("min_key") > F.col("_before")), 1).otherwise(0))
+    begun = ordered.carried(marked.groupBy("_part").agg(F.sum("_start").alias("n")), _begun=F.coalesce(F.sum("n").over(ordered.earlier()), F.lit(0)))
+    island = F.col("_begun") + F.sum("_start").over(here.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.join(begun, "_part").withColumn("island", island).drop("_part", "_reach", "_before", "_start", "_begun")
 
 
 def max_bytes(level: Column, base: int = 256 << 20, multiplier: int = 10, level0: int = 4 * (64 << 20)) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import prefix_end, text_prefix_end
+from tidemark.operators import ordered
 from tidemark.operators.visibility import visible
 
 
@@ -43,10 +44,16 @@ def ends(log: DataFrame, seq: int | None = None) -> DataFrame:
 
 
 def neighbours(log: DataFrame, *, seq: int | None = None, **bounds) -> DataFrame:
-    """Each live key with the keys before and after it.
+    """Each live key with the keys before and after it; the ends of key ranges are handed on between them."""
+    rows = ordered.ranged(visible(within(log, **bounds), seq).select("key"), F.asc("key"))
+    parts = rows.groupBy("_part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    around = ordered.carried(parts, _prev=F.lag("hi").over(ordered.by_part()), _next=F.lead("lo").over(ordered.by_part()))
+    order = Window.partitionBy("_part").orderBy("key")
+    beside = rows.select("_part", "key", F.lag("key").over(order).alias("prev_key"), F.lead("key").over(order).alias("next_key")).join(around, "_part")
+    return beside.select("key", F.coalesce("prev_key", "_prev").alias("prev_key"), F.coalesce("next_key", "_next").alias("next_key"))
 
-    The window needs one order over all keys; bound the scan when the key space
-    is large.
-    """
-    order = Window.orderBy("key")
-    return visible(within(log, **bounds), seq).select("key", F.lag("key").over(order).alias("prev_key"), F.lead("key").over(order).alias("next_key"))
+
+def scan_positions(log: DataFrame, *, seq: int | None = None, reverse: bool = False, **bounds) -> DataFrame:
+    """Live (key, value) with ``pos``, the place in the scan from 1."""
+    live = visible(within(log, **bounds), seq).select("key", "value")
+    return ordered.positions(live, F.desc("key") if reverse else F.asc("key"))

@@ -12,9 +12,10 @@ MAX_KEY, MAX_VALUE = 8 * KB, 1024 * MB
 
 @dataclass(frozen=True)
 class Options:
-    """``sync_mode``: always, interval, bytes or none.  Accepted without effect, since Spark or the file system decides:
-    paranoid_checks, block_based_bloom_filter, the slowdown and stop triggers, max_background_*, caches, max_open_files,
-    max_wal_size, recycle_wal_files."""
+    """``sync_mode``: always, interval (``sync_interval`` seconds), bytes (``sync_bytes``) or none.  ``paranoid_checks``
+    verifies page checksums on reading.  Accepted without effect, since Spark or the file system decides:
+    max_write_buffers (a flush is synchronous), block_size, block_based_bloom_filter, the slowdown and stop triggers,
+    max_background_* (one thread, see ``Store.start_compaction``), max_wal_size, recycle_wal_files, transaction_timeout."""
 
     create_if_missing: bool = True
     error_if_exists: bool = False
@@ -38,6 +39,8 @@ class Options:
     enable_table_cache: bool = True
     max_open_files: int = 1000
     sync_mode: str = "interval"
+    sync_interval: float = 0.1
+    sync_bytes: int = MB
     max_wal_size: int = 128 * MB
     recycle_wal_files: bool = True
     max_transactions: int = 1000
@@ -52,6 +55,7 @@ class Options:
             "block_size must be at least 256": self.block_size >= 256,
             "l0 triggers must be ordered compaction <= slowdown <= stop": self.l0_compaction_trigger <= self.l0_slowdown_trigger <= self.l0_stop_trigger,
             "max_write_buffers must be at least 2": self.max_write_buffers >= 2,
+            "sync_interval and sync_bytes must be positive": self.sync_interval > 0 and self.sync_bytes > 0,
             "max_key_size must be at most 8 KB": self.max_key_size <= MAX_KEY,
             "compression must be none, lz4 or snappy": self.compression in ("none", "lz4", "snappy"),
             "sync_mode must be always, interval, bytes or none": self.sync_mode in ("always", "interval", "bytes", "none"),

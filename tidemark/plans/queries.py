@@ -4,18 +4,24 @@
 ``error`` event is a tombstone, any other event puts its props.  The file
 manifest of level queries is made from that log: a fifth of it lies in level 0
 by sequence, the rest in levels 1 and 2 by key range.
+
+Reads go through a store that holds the log, written once a session: its older
+half compacted into level 1, the rest in two runs of level 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bloom, codec, metrics
-from tidemark.operators import batch, compact, manifest, scan, txn, visibility
+from tidemark.operators import batch, compact, manifest, ordered, scan, txn, visibility
+from tidemark.options import Options
 from tidemark.schema import DELETE, PUT
+from tidemark.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,6 +68,34 @@ def kv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def kv_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The log as a store in the shared folder, built on first use; nothing of its history is dropped."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _stores:
+        path = urlparse(ordered.scratch_path(spark, "store"))
+        if path.scheme not in ("", "file"):
+            raise ValueError(f"a store needs a mounted folder, spark.checkpoint.dir is {path.scheme}:")
+        store = Store.open(spark, path.path, Options(compression="lz4", target_file_size_base=16 << 20))
+        all_of_it = store.snapshot()
+        ops = kv_log(spark, sf_dir).select(F.col("seq").alias("ord"), F.col("key").cast("binary").alias("key"), "op", F.col("value").cast("binary").alias("value"))
+        last = ops.agg(F.max("ord")).first()[0] or 0
+        store.load(ops.filter(F.col("ord") <= last // 2))
+        store.compact()
+        store.load(ops.filter((F.col("ord") > last // 2) & (F.col("ord") <= last * 3 // 4)))
+        store.load(ops.filter(F.col("ord") > last * 3 // 4))
+        all_of_it.release()
+        _stores[at] = store
+    return _stores[at]
+
+
+def _text(df: DataFrame) -> DataFrame:
+    """Binary columns as text."""
+    return df.select(*[F.col(c).cast("string").alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes])
+
+
 def _query(sql: str, files: bool = False, source=None):
     """Registers a function of the log (or the manifest) under its name, with its SQL."""
 
@@ -74,12 +108,23 @@ def _query(sql: str, files: bool = False, source=None):
     return add
 
 
+def _read(sql: str):
+    """Registers a function of the store that holds the log."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: _text(f(kv_store(spark, sf_dir)))
+        SQL[f.__name__] = f"WITH {_LOG} {sql}"
+        return f
+
+    return add
+
+
 # -- point reads and scans -----------------------------------------------------------------------
 
 
-@_query(f"SELECT key, value FROM {_vis()} WHERE key >= 'user:00050'")
-def scan_from(log):
-    return scan.scan(log, start="user:00050")
+@_read(f"SELECT key, value FROM {_vis()} WHERE key >= 'user:00050'")
+def scan_from(store):
+    return store.scan(start=b"user:00050")
 
 
 @_query("SELECT key, seq, op, value FROM log WHERE key = 'user:00007' AND seq BETWEEN 2501 AND 5000")
@@ -97,59 +142,60 @@ def run_scan(log):
     return log.filter(F.col("seq").between(2501, 5000)).select("key", "seq", "op", "value")
 
 
-@_query("SELECT key, value FROM log WHERE key = 'user:00007' QUALIFY row_number() OVER (ORDER BY seq DESC) = 1 AND op = 1")
-def point_get(log):
-    return visibility.visible(log.filter(F.col("key") == "user:00007")).select("key", "value")
+@_read("SELECT key, value FROM log WHERE key = 'user:00007' QUALIFY row_number() OVER (ORDER BY seq DESC) = 1 AND op = 1")
+def point_get(store):
+    return visibility.visible(store.log(b"user:00007", b"user:00007")).select("key", "value")
 
 
-@_query(f"SELECT key, value FROM {_vis('seq <= 5000')} WHERE key IN ('user:00003', 'user:00007', 'user:00011')")
-def get_as_of(log):
-    return visibility.visible(log.filter(F.col("key").isin("user:00003", "user:00007", "user:00011")), 5000).select("key", "value")
+@_read(f"SELECT key, value FROM {_vis('seq <= 5000')} WHERE key IN ('user:00003', 'user:00007', 'user:00011')")
+def get_as_of(store):
+    keys = [b"user:00003", b"user:00007", b"user:00011"]
+    return visibility.visible(store.log(keys[0], keys[-1]).filter(F.col("key").isin(*keys)), 5000).select("key", "value")
 
 
 def _wanted(spark: SparkSession) -> DataFrame:
-    return spark.range(0, 400, 20).select(F.format_string("user:%05d", "id").alias("key"))
+    return spark.range(0, 400, 20).select(F.format_string("user:%05d", "id").cast("binary").alias("key"))
 
 
-@_query(
+@_read(
     f"""SELECT k.key, CASE WHEN n.op IS NULL THEN 'NotFound' WHEN n.op = 2 THEN 'Deleted' ELSE 'Found' END AS status, CASE WHEN n.op = 1 THEN n.value END AS value
   FROM (SELECT 'user:' || lpad(CAST(i * 20 AS VARCHAR), 5, '0') AS key FROM range(20) t(i)) k LEFT JOIN {_newest('log')} n ON k.key = n.key"""
 )
-def lookup_status(log):
-    return visibility.lookup(log, _wanted(log.sparkSession))
+def lookup_status(store):
+    return store.multi_get(_wanted(store.spark))
 
 
-@_query(f"SELECT k.key, n.value FROM (SELECT 'user:' || lpad(CAST(i * 20 AS VARCHAR), 5, '0') AS key FROM range(20) t(i)) k LEFT JOIN {_vis('seq <= 8000')} n ON k.key = n.key")
-def multi_get(log):
-    return visibility.lookup(log, _wanted(log.sparkSession), 8000).select("key", "value")
+@_read(f"SELECT k.key, n.value FROM (SELECT 'user:' || lpad(CAST(i * 20 AS VARCHAR), 5, '0') AS key FROM range(20) t(i)) k LEFT JOIN {_vis('seq <= 8000')} n ON k.key = n.key")
+def multi_get(store):
+    return store.multi_get(_wanted(store.spark), 8000).select("key", "value")
 
 
-@_query(f"SELECT count(*) > 0 AS present FROM {_vis()} WHERE key = 'user:00007'")
-def contains(log):
-    return visibility.visible(log.filter(F.col("key") == "user:00007")).agg((F.count(F.lit(1)) > 0).alias("present"))
+@_read(f"SELECT count(*) > 0 AS present FROM {_vis()} WHERE key = 'user:00007'")
+def contains(store):
+    return visibility.visible(store.log(b"user:00007", b"user:00007")).agg((F.count(F.lit(1)) > 0).alias("present"))
 
 
-@_query(f"SELECT key, value FROM {_vis()}")
-def scan_all(log):
-    return scan.scan(log)
+@_read(f"SELECT key, value FROM {_vis()}")
+def scan_all(store):
+    return store.scan()
 
 
-@_query(f"SELECT key, value FROM {_vis()} WHERE key >= 'user:00010' AND key < 'user:00020'")
-def scan_range(log):
-    return scan.scan(log, start="user:00010", end="user:00020")
+@_read(f"SELECT key, value FROM {_vis()} WHERE key >= 'user:00010' AND key < 'user:00020'")
+def scan_range(store):
+    return store.scan(start=b"user:00010", end=b"user:00020")
 
 
-@_query(f"SELECT key, value FROM {_vis('seq <= 5000')} WHERE starts_with(key, 'user:0001')")
-def scan_prefix(log):
-    return scan.scan(log, prefix="user:0001", seq=5000)
+@_read(f"SELECT key, value FROM {_vis('seq <= 5000')} WHERE starts_with(key, 'user:0001')")
+def scan_prefix(store):
+    return store.scan(5000, prefix=b"user:0001")
 
 
 def _bounds(name: str, lo: str, hi: str, **kw) -> None:
-    def f(log):
-        return scan.scan(log, start="user:00010", end="user:00020", **kw)
+    def f(store):
+        return store.scan(start=b"user:00010", end=b"user:00020", **kw)
 
     f.__name__ = name
-    _query(f"SELECT key, value FROM {_vis()} WHERE key {lo} 'user:00010' AND key {hi} 'user:00020'")(f)
+    _read(f"SELECT key, value FROM {_vis()} WHERE key {lo} 'user:00010' AND key {hi} 'user:00020'")(f)
 
 
 _bounds("scan_bounds_ii", ">=", "<=", end_inclusive=True)
@@ -158,41 +204,39 @@ _bounds("scan_bounds_ei", ">", "<=", start_exclusive=True, end_inclusive=True)
 _bounds("scan_bounds_ee", ">", "<", start_exclusive=True)
 
 
-@_query(f"SELECT key, value, row_number() OVER (ORDER BY key DESC) AS pos FROM {_vis()} WHERE key < 'user:00030'")
-def scan_reverse(log):
-    from pyspark.sql import Window
+@_read(f"SELECT key, value, row_number() OVER (ORDER BY key DESC) AS pos FROM {_vis()} WHERE key < 'user:00030'")
+def scan_reverse(store):
+    return scan.scan_positions(store.log(None, b"user:00030"), end=b"user:00030", reverse=True)
 
-    return scan.scan(log, end="user:00030", reverse=True).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("key"))).cast("bigint"))
 
+@_read(f"SELECT key, value FROM {_vis('seq <= 3000')}")
+def scan_as_of(store):
+    return store.scan(3000)
 
-@_query(f"SELECT key, value FROM {_vis('seq <= 3000')}")
-def scan_as_of(log):
-    return scan.scan(log, seq=3000)
 
+@_read(f"SELECT key, value FROM {_vis()} WHERE key >= 'user:00010x' ORDER BY key LIMIT 1")
+def seek_ge(store):
+    return scan.seek(store.log(b"user:00010x", None), b"user:00010x")
 
-@_query(f"SELECT key, value FROM {_vis()} WHERE key >= 'user:00010x' ORDER BY key LIMIT 1")
-def seek_ge(log):
-    return scan.seek(log, "user:00010x")
 
+@_read(f"SELECT key, value FROM {_vis()} WHERE key <= 'user:00010x' ORDER BY key DESC LIMIT 1")
+def seek_le(store):
+    return scan.seek(store.log(None, b"user:00010x"), b"user:00010x", backward=True)
 
-@_query(f"SELECT key, value FROM {_vis()} WHERE key <= 'user:00010x' ORDER BY key DESC LIMIT 1")
-def seek_le(log):
-    return scan.seek(log, "user:00010x", backward=True)
 
+@_read(f"SELECT min(key) AS first_key, max(key) AS last_key, count(*) AS n FROM {_vis()}")
+def first_last(store):
+    return scan.ends(store.log())
 
-@_query(f"SELECT min(key) AS first_key, max(key) AS last_key, count(*) AS n FROM {_vis()}")
-def first_last(log):
-    return scan.ends(log)
 
+@_read(f"SELECT key, lag(key) OVER (ORDER BY key) AS prev_key, lead(key) OVER (ORDER BY key) AS next_key FROM {_vis()}")
+def neighbours(store):
+    return scan.neighbours(store.log())
 
-@_query(f"SELECT key, lag(key) OVER (ORDER BY key) AS prev_key, lead(key) OVER (ORDER BY key) AS next_key FROM {_vis()}")
-def neighbours(log):
-    return scan.neighbours(log)
 
-
-@_query(f"SELECT count(*) AS n FROM {_vis()} WHERE key >= 'user:00010' AND key < 'user:00100'")
-def count_range(log):
-    return scan.scan(log, start="user:00010", end="user:00100").agg(F.count(F.lit(1)).alias("n"))
+@_read(f"SELECT count(*) AS n FROM {_vis()} WHERE key >= 'user:00010' AND key < 'user:00100'")
+def count_range(store):
+    return store.scan(start=b"user:00010", end=b"user:00100").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(f"SELECT substr(key, 1, 9) AS prefix, count(*) AS n FROM {_vis()} GROUP BY 1")
@@ -205,22 +249,22 @@ def scan_agg(log):
     return visibility.visible(log).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).cast("bigint").alias("bytes"), F.min("value").alias("least"), F.max("seq").alias("newest"))
 
 
-@_query(f"SELECT key, value FROM {_vis()} ORDER BY key LIMIT 10")
-def scan_limit(log):
-    return scan.scan(log).limit(10)
+@_read(f"SELECT key, value FROM {_vis()} ORDER BY key LIMIT 10")
+def scan_limit(store):
+    return store.scan().limit(10)
 
 
-@_query(f"SELECT key, value FROM {_vis()} WHERE key >= 'user:00010' AND key < 'user:00100' ORDER BY key DESC LIMIT 7")
-def scan_range_reverse(log):
-    return scan.scan(log, start="user:00010", end="user:00100", reverse=True).limit(7)
+@_read(f"SELECT key, value FROM {_vis()} WHERE key >= 'user:00010' AND key < 'user:00100' ORDER BY key DESC LIMIT 7")
+def scan_range_reverse(store):
+    return store.scan(start=b"user:00010", end=b"user:00100", reverse=True).limit(7)
 
 
 # -- versions ------------------------------------------------------------------------------------
 
 
-@_query(f"SELECT key, seq, value FROM {_vis('seq <= 5000')}")
-def visible_as_of(log):
-    return visibility.visible(log, 5000)
+@_read(f"SELECT key, seq, value FROM {_vis('seq <= 5000')}")
+def visible_as_of(store):
+    return visibility.visible(store.log(), 5000)
 
 
 @_query("SELECT max(seq) AS seq FROM log")
@@ -228,9 +272,9 @@ def snapshot_seq(log):
     return log.agg(F.max("seq").alias("seq"))
 
 
-@_query("SELECT key, seq, op, value FROM log WHERE key = 'user:00007'")
-def version_history(log):
-    return visibility.history(log, "user:00007").select("key", "seq", "op", "value")
+@_read("SELECT key, seq, op, value FROM log WHERE key = 'user:00007'")
+def version_history(store):
+    return visibility.history(store.log(b"user:00007", b"user:00007"), b"user:00007").select("key", "seq", "op", "value")
 
 
 @_query("SELECT (seq - 1) // 2500 AS run, min(seq) AS min_seq, max(seq) AS max_seq, count(*) AS n FROM log GROUP BY 1")
@@ -238,22 +282,24 @@ def run_seq_bounds(log):
     return log.groupBy(F.floor((F.col("seq") - 1) / 2500).alias("run")).agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count(F.lit(1)).alias("n"))
 
 
-@_query(
+@_read(
     f"""SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.seq IS NULL THEN 'added' WHEN b.seq IS NULL THEN 'removed' ELSE 'changed' END AS change,
   a.value AS old_value, b.value AS new_value FROM {_vis('seq <= 4000')} a FULL JOIN {_vis('seq <= 8000')} b ON a.key = b.key WHERE a.seq IS DISTINCT FROM b.seq"""
 )
-def snapshot_diff(log):
-    return visibility.diff(log, 4000, 8000)
+def snapshot_diff(store):
+    return visibility.diff(store.log(), 4000, 8000)
 
 
 # -- writes --------------------------------------------------------------------------------------
 
 
-@_query("SELECT 'user:00007' AS key, 'new' AS value")
+@_query(f"""SELECT key, value FROM {_vis()} WHERE CAST(substr(key, 6) AS INT) % 7 <> 0
+  UNION ALL SELECT DISTINCT key, 'new of ' || key FROM log WHERE CAST(substr(key, 6) AS INT) % 7 = 0""")
 def put_overwrite(log):
-    spark = log.sparkSession
-    after = txn.commit(log, spark.createDataFrame([(1, "user:00007", PUT, "old"), (2, "user:00007", PUT, "new")], "ord bigint, key string, op int, value string"), 1 << 40)
-    return visibility.visible(after.filter(F.col("key") == "user:00007")).select("key", "value")
+    """Every seventh user is put twice in one commit: the second value counts, whatever stood there."""
+    keys = log.filter(F.substring("key", 6, 5).cast("int") % 7 == 0).select("key").distinct()
+    put = lambda ord, what: keys.select(F.lit(ord).cast("bigint").alias("ord"), "key", F.lit(PUT).alias("op"), F.concat(F.lit(what), "key").alias("value"))
+    return visibility.visible(txn.commit(log, put(1, "old of ").unionByName(put(2, "new of ")), 1 << 40)).select("key", "value")
 
 
 @_query(f"SELECT count(*) AS n, count(*) FILTER (WHERE key = 'user:00007') AS of_key FROM {_vis()} WHERE key <> 'user:00007'")
@@ -262,9 +308,9 @@ def delete_hides(log):
     return visibility.visible(txn.commit(log, gone, 1 << 40)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("key") == "user:00007").alias("of_key"))
 
 
-@_query("SELECT key, op, value, 1000000 + 1 + (seq - 1) AS seq FROM log WHERE seq <= 3000")
+@_query("SELECT key, op, value, 1000000 + row_number() OVER (ORDER BY seq) AS seq FROM log")
 def batch_apply(log):
-    ops = log.filter("seq <= 3000").select(F.col("seq").alias("ord"), "key", "op", "value")
+    ops = log.select(F.col("seq").alias("ord"), "key", "op", "value")
     return batch.assign_sequences(ops, 1000000).select("key", "op", "value", "seq")
 
 
@@ -293,7 +339,7 @@ def flush_invariant(log):
     return visibility.visible(per_run)
 
 
-@_query("SELECT key, seq, op, value FROM log WHERE seq <= 6000 UNION ALL SELECT key, seq, op, value FROM log WHERE seq > 6000")
+@_query("SELECT key, seq, op, value FROM log WHERE seq <= 6000 UNION ALL SELECT key, 6000 + row_number() OVER (ORDER BY seq) AS seq, op, value FROM log WHERE seq > 6000")
 def wal_replay(log):
     base = log.filter("seq <= 6000")
     tail = log.filter("seq > 6000").select(F.col("seq").alias("ord"), "key", "op", "value")
@@ -333,9 +379,10 @@ def txn_ww_conflicts(log):
 # -- merge and compaction ------------------------------------------------------------------------
 
 
-@_query("SELECT key, seq, op, value FROM log WHERE seq <= 7500")
+@_query("SELECT key, seq, op, value FROM log")
 def merge_runs(log):
-    return compact.merge_runs(*[log.filter(F.floor((F.col("seq") - 1) / 2500) == i) for i in range(3)]).select("key", "seq", "op", "value")
+    """All versions of four interleaved runs as one."""
+    return compact.merge_runs(*[log.filter(F.col("seq") % 4 == i) for i in range(4)]).select("key", "seq", "op", "value")
 
 
 @_query(f"SELECT key, seq, op, value FROM {_newest('log')}")
@@ -375,7 +422,7 @@ def compact_invariant(log):
 @_query(
     f""", i AS (SELECT count(*) AS entries_in, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 16) AS BIGINT) AS bytes_in FROM log),
   o AS (SELECT count(*) AS entries_out, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 16) AS BIGINT) AS bytes_out FROM {_newest('log')})
-  SELECT *, entries_in - entries_out AS dropped, bytes_out / bytes_in AS space_amp FROM i, o"""
+  SELECT *, entries_in - entries_out AS dropped, bytes_out / bytes_in AS space_amp, entries_out / entries_in AS write_amp FROM i, o"""
 )
 def compaction_stats(log):
     return compact.statistics(log, compact.keep_newest(log))
@@ -515,17 +562,17 @@ def hit_rate(log):
     return per.withColumn("rate", metrics.rate(F.col("hits"), F.col("misses")))
 
 
-@_query("SELECT key, seq, hex(key) || lpad(hex(seq * 256 + op), 16, '0') AS encoded FROM log WHERE seq <= 1000")
+@_query("SELECT key, seq, hex(key) || lpad(hex(seq * 256 + op), 16, '0') AS encoded FROM log")
 def internal_key_codec(log):
-    encoded = log.filter("seq <= 1000").withColumn("encoded", codec.internal_key_hex(F.col("key"), F.col("seq"), F.col("op")))
+    encoded = log.withColumn("encoded", codec.internal_key_hex(F.col("key"), F.col("seq"), F.col("op")))
     parts = encoded.withColumn("p", codec.internal_key_parts(F.col("encoded")))
     return parts.select(F.unhex("p.key_hex").cast("string").alias("key"), F.col("p.seq").alias("seq"), "encoded")
 
 
-@_query("SELECT seq * seq * seq AS n, CASE WHEN seq * seq * seq < 128 THEN 1 ELSE 1 + CAST(floor(log2(seq * seq * seq) / 7) AS INT) END AS length FROM log WHERE seq <= 1000")
+@_query("SELECT seq * seq * seq AS n, CAST((length(bin(seq * seq * seq)) + 6) // 7 AS INT) AS length FROM log")
 def varint_length(log):
     n = F.col("seq") * F.col("seq") * F.col("seq")
-    return log.filter("seq <= 1000").select(n.alias("n"), codec.varint_length(n).alias("length"))
+    return log.select(n.alias("n"), codec.varint_length(n).alias("length"))
 
 
 @_query("SELECT seq * 429496 % 4294967296 AS crc, ((crc >> 15) + (crc % 32768) * 131072 + 2726488792) % 4294967296 AS masked, crc AS back FROM log")
@@ -535,10 +582,17 @@ def crc_mask_roundtrip(log):
     return masked.withColumn("back", codec.unmasked_crc(F.col("masked")))
 
 
+def _cents(shift: int) -> str:
+    n, half = "n * 100", 1 << shift - 1
+    whole, rest = f"(({n}) >> {shift})", f"(({n}) % {1 << shift})"
+    return f"{whole} + CASE WHEN {rest} > {half} OR ({rest} = {half} AND {whole} % 2 = 1) THEN 1 ELSE 0 END"
+
+
 @_query(
-    """, ns AS (SELECT seq, seq * seq * seq AS n FROM log), tenths AS (SELECT *, n * 10 // 1024 AS k, n * 10 // 1048576 AS m, n * 10 // 1073741824 AS g FROM ns)
-  SELECT seq, CASE WHEN n >= 1073741824 THEN (g // 10) || '.' || (g % 10) || ' GB' WHEN n >= 1048576 THEN (m // 10) || '.' || (m % 10) || ' MB'
-    WHEN n >= 1024 THEN (k // 10) || '.' || (k % 10) || ' KB' ELSE n || ' B' END AS text FROM tenths"""
+    f""", ns AS (SELECT seq, seq * seq * seq AS n FROM log), cents AS (SELECT *, {_cents(10)} AS k, {_cents(20)} AS m, {_cents(30)} AS g FROM ns)
+  SELECT seq, CASE WHEN n >= 1073741824 THEN (g // 100) || '.' || lpad(CAST(g % 100 AS VARCHAR), 2, '0') || ' GB'
+    WHEN n >= 1048576 THEN (m // 100) || '.' || lpad(CAST(m % 100 AS VARCHAR), 2, '0') || ' MB'
+    WHEN n >= 1024 THEN (k // 100) || '.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || ' KB' ELSE n || ' B' END AS text FROM cents"""
 )
 def format_bytes(log):
     n = F.col("seq") * F.col("seq") * F.col("seq")

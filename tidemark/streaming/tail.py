@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.sources.store import Store
 
 
-def into_store(ops: DataFrame, store: Store, checkpoint: str, order: str = "ord"):
-    """Starts a query that commits every micro-batch (order, key, op, value) to a store as one run."""
+def into_store(ops: DataFrame, store: Store, checkpoint: str, order: str = "ord", name: str | None = None):
+    """Starts a query that commits every micro-batch (order, key, op, value) to a store as one run.
+
+    The number of the last batch is published with its files under the stream's
+    name (its checkpoint folder unless given), so a query that starts again and
+    repeats a batch commits it once.
+    """
 
     def commit(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.load(batch, order)
+            store.load(batch, order, (name or checkpoint, number))
 
     return ops.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).start()
 
