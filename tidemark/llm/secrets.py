@@ -2,23 +2,29 @@
 
 Every rule is a regular expression.  From its syntax tree follows a Boolean
 query over trigrams of the lower-cased text that any match must satisfy: AND
-along a sequence, OR over alternatives.  The index holds postings (trigram,
-document) for the trigrams that some rule asks for; the postings of a document
-are intersected to a set of trigrams, the rules' queries are evaluated on that
-set, and only documents that satisfy one are verified with the expressions.
-Rules whose query is empty, like a run of hex digits, scan every text.
+along a sequence, OR over alternatives.
 
-All of it is DataFrame operations, and no text is shuffled as long as the
-candidates' keys are few enough to go to all tasks.
+1. One pass over the texts finds which of the trigrams that some rule asks for
+   stand in each.  They are turned into posting lists: for a trigram and a chunk
+   of the documents (known by a 64-bit hash) the sorted list of those with it.
+2. A rule's query is evaluated on the posting lists: AND intersects them, OR
+   unites them.  What is left are the rule's candidates.
+3. One more pass verifies: a rule with a query looks at its candidates only,
+   rules without one, like runs of hex digits, look at every text.  Documents
+   that share a hash only add candidates.
+
+All of it is DataFrame operations.  Only hashes and lists of them are shuffled,
+as long as the candidates are few enough to go to all tasks.
 
 Spans count code points, end exclusive, leftmost non-overlapping per rule.
-Nulls are empty texts; ids may be null or repeat (a document is known by id and
-text hash); repeated rows are reported each; extra columns pass through, and an
-added column that clashes gets a ``_`` in front.
+Nulls are empty texts; ids may be null or repeat; repeated rows are reported
+each; extra columns pass through, whatever their names, and an added column that
+clashes gets a ``_`` in front.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as _c
 import re._parser as _parser
 from dataclasses import dataclass
@@ -27,7 +33,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, maybe_broadcast, stash, text_or_empty
+from tidemark.llm.common import discard, fresh, maybe_broadcast, spread_join, stash, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -149,90 +155,121 @@ def trigrams_of(query: object) -> list[str]:
     return list(dict.fromkeys(t for p in query[1] for t in trigrams_of(p)))
 
 
-def _holds(query: object, present: Column) -> Column:
+# -- the index -----------------------------------------------------------------------------------
+
+#: documents whose hashes share a posting list
+CHUNK = 4096
+_LIST = "array<bigint>"
+
+
+def trigram_pattern(trigrams: list[str]) -> str:
+    """An expression whose group 1 is, at each place where one of the trigrams begins, that trigram."""
+    by_first: dict[str, list[str]] = {}
+    for t in trigrams:
+        by_first.setdefault(t[0], []).append(t[1:])
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(map(re.escape, ends))})" for c, ends in by_first.items()) + "))"
+
+
+def postings(docs: DataFrame, text: Column, doc: Column, trigrams: list[str], chunks: int) -> DataFrame:
+    """The inverted index: chunk, trigram and docs, the sorted hashes of the chunk's documents that hold the trigram."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(trigram_pattern(trigrams)), F.lit(1)))
+    held = docs.select(doc.alias("doc"), found.alias("trigrams")).filter(F.size("trigrams") > 0).withColumn("chunk", F.pmod("doc", F.lit(chunks)))
+    # one shuffle, by chunk, serves the lists and their intersection
+    each = held.repartition("chunk").select("chunk", "doc", F.explode("trigrams").alias("trigram"))
+    return each.groupBy("chunk", "trigram").agg(F.array_sort(F.collect_set("doc")).alias("docs"))
+
+
+def _matching(query: object, lists: Column) -> Column:
+    """The documents of a chunk that satisfy a query, from the map of its posting lists."""
     if isinstance(query, str):
-        return F.array_contains(present, query)
-    tests = [_holds(p, present) for p in query[1]]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t if query[0] == "and" else out | t
+        return F.coalesce(F.element_at(lists, query), F.array().cast(_LIST))
+    out = _matching(query[1][0], lists)
+    for p in query[1][1:]:
+        out = F.array_intersect(out, _matching(p, lists)) if query[0] == "and" else F.array_union(out, _matching(p, lists))
     return out
 
 
+def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
+    """doc and the kinds whose query its postings satisfy."""
+    lists = index.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("lists"))
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), _matching(q, F.col("lists")).alias("docs")) for kind, q in queries.items()])
+    pairs = lists.select(F.explode(each).alias("m")).select("m.kind", F.explode("m.docs").alias("doc"))
+    return pairs.groupBy("doc").agg(F.collect_set("kind").alias("kinds"))
+
+
 # -- scanning ------------------------------------------------------------------------------------
 
+_SPANS = "array<struct<kind:int,start:bigint,end:bigint>>"
+#: matches whose starts are summed up together
+_BLOCK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
-def spans_of(rule: Rule, text: Column) -> Column:
-    """Array of (kind number, start, end) of a rule's matches in a text, in order.
+
+def spans_of(rule: Rule, text: Column, number: int) -> Column:
+    """Array of (``number``, start, end) of a rule's matches in a text, in order.
 
     The text splits at the matches, so a match starts after the lengths of all
-    pieces and matches before it.  A run of one class that counts from some
-    length on is matched from that length, which finds the same runs.
+    pieces and matches before it.  These are summed in blocks, so the work grows
+    with the matches, not their square.  A run of one class that counts from
+    some length on is matched from that length, which finds the same runs.
     """
     pattern = rule.pattern
     if rule.least > 1 and not rule.group and pattern.endswith("]+"):
         fixed = pattern.index("[")  # literal characters before the class
         pattern = pattern[:-1] + f"{{{rule.least - fixed},}}"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    number = RULES.index(rule) if rule in RULES else 0
     long_enough = (lambda m: F.length(F.regexp_extract(m, pattern, rule.group)) >= rule.least) if rule.group else (lambda m: F.length(m) >= rule.least)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>").alias("out"))
+    empty = F.array().cast(_SPANS)
 
-    def step(acc, p):
-        begin = acc["at"] + p["gap"]
-        span = F.struct(F.lit(number).alias("kind"), begin.alias("start"), (begin + p["n"]).alias("end"))
-        return F.struct((begin + p["n"]).alias("at"), F.when(long_enough(p["m"]), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def pieces(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        return F.zip_with(found, gaps, lambda m, g: F.struct(long_enough(m).alias("ok"), F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n")))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(start["out"])
+    def located(p: Column) -> Column:
+        part = lambda k: F.slice(p, k * _BLOCK + 1, F.lit(_BLOCK))
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(p) / _BLOCK).cast("int") - 1)
+        sums = F.transform(blocks, lambda k: F.aggregate(part(k), F.lit(0).cast("long"), lambda total, x: total + x["gap"] + x["n"]))
+        begins = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
 
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            span = F.struct(F.lit(number).alias("kind"), begin.alias("start"), (begin + x["n"]).alias("end"))
+            return F.struct((begin + x["n"]).alias("at"), F.when(x["ok"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-def postings(docs: DataFrame, key: list[str], text: str, trigrams: list[str]) -> DataFrame:
-    """The inverted index: a row (trigram, key) per document and wanted trigram of its lower-cased text."""
-    low = F.lower(F.col(text))
-    return docs.withColumn("_low", low).select(*key, F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("_low"), t))).alias("trigram")).select("trigram", *key)
+        return _let(begins, lambda at: F.flatten(F.transform(blocks, lambda k: F.aggregate(part(k), F.struct(F.element_at(at, k + 1).alias("at"), empty.alias("out")), step)["out"])))
 
-
-def candidates(index: DataFrame, key: list[str], rules: tuple[Rule, ...]) -> DataFrame:
-    """``key`` and the kinds whose query its postings satisfy, for documents with any."""
-    present = index.groupBy(*key).agg(F.collect_set("trigram").alias("_present"))
-    kinds = F.array_compact(F.array(*[F.when(_holds(trigram_query(r.pattern), F.col("_present")), F.lit(r.kind)) for r in rules]))
-    return present.select(*key, kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(found, lambda f: F.when(F.size(f) == 0, empty).otherwise(_let(pieces(f), located)))
 
 
 def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns unless given) with ``found``: all spans (kind number, start, end), by start, then kind.
 
-    The index, the full scans and the verification each read the texts once;
-    between them go keys and spans only.
+    The index and the verification each read the texts once.
     """
     keep = list(docs.columns) if keep is None else keep
-    found = fresh(docs, "found")[0]
-    key = ["_id", "_hash"]
+    found = fresh(docs.select(*[F.col(f"`{c}`") for c in keep]), "found")[0]
     text = text_or_empty(F.col(f"`{text_col}`"))
-    keyed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
-    queries = {r: trigram_query(r.pattern) for r in rules}
-    indexed = tuple(r for r in rules if queries[r] is not True)
-    wanted = list(dict.fromkeys(t for r in indexed for t in trigrams_of(queries[r])))
-
-    own = [spans_of(r, F.col("_text")) for r in rules if queries[r] is True]
-    parts = [keyed.select(*key, F.explode(F.flatten(F.array(*own))).alias("_span"))] if own else []
-    if indexed:
-        cand = stash(candidates(postings(keyed, key, "_text", wanted), key, indexed), "candidates")
-        cand = cand.select(F.col("_id").alias("_cand_id"), F.col("_hash").alias("_cand_hash"), "kinds")
-        hit = keyed.join(maybe_broadcast(cand, cand.count(), 200), F.col("_id").eqNullSafe(F.col("_cand_id")) & (F.col("_hash") == F.col("_cand_hash")))
-        empty = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
-        verified = [F.when(F.array_contains("kinds", r.kind), spans_of(r, F.col("_text"))).otherwise(empty) for r in indexed]
-        parts.append(hit.select(*key, F.explode(F.flatten(F.array(*verified))).alias("_span")))
-    spans = parts[0]
-    for p in parts[1:]:
-        spans = spans.unionByName(p)
-    by_place = F.transform(F.array_sort(F.collect_set(F.struct(F.col("_span.start"), F.col("_span.kind"), F.col("_span.end")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    spans = spans.groupBy(F.col("_id").alias("_span_id"), F.col("_hash").alias("_span_hash")).agg(by_place.alias("_found"))
-    base = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_hash"))
-    out = base.join(spans, F.col("_id").eqNullSafe(F.col("_span_id")) & (F.col("_hash") == F.col("_span_hash")), "left")
-    return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], F.coalesce("_found", F.array()).alias(found))
+    doc = F.xxhash64(F.col(f"`{id_col}`"), text)
+    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    queries = {kind: q for kind, q in queries.items() if q is not True}
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)], text.alias("_text"), doc.alias("_doc"))
+    if queries:
+        wanted = list(dict.fromkeys(t for q in queries.values() for t in trigrams_of(q)))
+        index = stash(postings(docs, text, doc, wanted, -(-docs.count() // CHUNK) or 1), "postings")
+        cand = stash(candidates(index, queries), "candidates").select(F.col("doc").alias("_doc"), F.col("kinds").alias("_kinds"))
+        discard(index)
+        small = maybe_broadcast(cand, cand.count(), 100)
+        rows = rows.join(small, "_doc", "left") if small is not cand else spread_join(rows, cand, "_doc", rows.groupBy("_doc").agg(F.count(F.lit(1)).alias("n")), "left")
+    empty = F.array().cast(_SPANS)
+    told = lambda r: F.array_contains(F.coalesce("_kinds", F.array().cast("array<string>")), r.kind)
+    each = [F.when(told(r), spans_of(r, F.col("_text"), i)).otherwise(empty) if r.kind in queries else spans_of(r, F.col("_text"), i) for i, r in enumerate(rules)]
+    places = F.transform(F.flatten(F.array(*each)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    spans = F.transform(F.array_sort(places), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], spans.alias(found))
 
 
 def spans_text(found: Column, base_only: bool = False, rules: tuple[Rule, ...] = RULES) -> Column:
