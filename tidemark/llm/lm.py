@@ -8,9 +8,10 @@ Everything is learnt from all training texts: one pass counts words, a second
 counts class trigrams.  Both counts combine on the map side.  The trigram table
 is bounded by classes**3, so it can come to the driver, where the log-bilinear
 model (class vectors, one matrix per context position, biases) is trained in
-numpy: the noise-contrastive objective, data against ``noise`` samples per token
-from the unigram distribution, is taken in expectation over the whole table.
-One matrix product gives the scores of all classes after all contexts, and their
+numpy by noise-contrastive estimation: batches of ``batch`` tokens are drawn from
+the table, each with ``noise`` classes drawn from the unigram distribution (both
+from a fixed seed), and the model learns to tell data from noise.  Batched matrix
+products then give the scores of all classes after all contexts, and their
 normalised log-probabilities.
 
 Within a class a word has probability (c + 1) / (N_class + V_class + 1), an
@@ -40,13 +41,14 @@ from tidemark.llm.common import fresh, ship, stash, text_or_empty
 
 @dataclass(frozen=True)
 class Spec:
-    """``classes`` in all, ``words`` of them single words; ``size`` of the vectors; ``noise`` per token; training ``steps``."""
+    """``classes`` in all, ``words`` of them single words; ``size`` of the vectors; ``noise`` per token; training ``steps`` of ``batch`` tokens."""
 
     classes: int = 128
     words: int = 80
     size: int = 16
     noise: int = 10
-    steps: int = 150
+    steps: int = 800
+    batch: int = 8192
     broadcast: int = 1 << 18
 
 
@@ -120,7 +122,7 @@ def train_nce(table: np.ndarray, spec: Spec, seed: int = 1) -> np.ndarray:
         return np.full((c1 * c1, k), -np.log10(k), np.float32)
     n = counts[seen]
     per_context = n.sum(axis=1, keepdims=True)
-    noise = (n.sum(axis=0) + 1) / (n.sum() + k)
+    noise = ((n.sum(axis=0) + 1) / (n.sum() + k)).astype(np.float64)
     rng = np.random.default_rng(seed)
     p = {
         "context": rng.normal(0, 0.1, (c1, spec.size)),
@@ -130,25 +132,33 @@ def train_nce(table: np.ndarray, spec: Spec, seed: int = 1) -> np.ndarray:
         "bias": np.log(noise),
     }
     p = {name: v.astype(np.float32) for name, v in p.items()}
-    far, near = seen // c1, seen % c1
     shift = np.log(spec.noise * noise).astype(np.float32)
-    # a context's pull grows with the root of its count, so rare contexts learn too and common ones don't drown them
-    weight = (np.sqrt(per_context) / per_context).astype(np.float32)
-    weight /= (weight * per_context).sum()
+    # tokens are drawn so that a context's pull grows with the root of its count: rare contexts learn too, common ones don't drown them
+    cell = np.flatnonzero(n)
+    draw = np.cumsum((n / np.sqrt(per_context)).reshape(-1)[cell].astype(np.float64))
+    draw_noise = np.cumsum(noise) / noise.sum()
+    far_of, near_of = seen // c1, seen % c1
     m = {name: np.zeros_like(v) for name, v in p.items()}
     s = {name: np.zeros_like(v) for name, v in p.items()}
     add = lambda rows, values: np.stack([np.bincount(rows, weights=values[:, j], minlength=c1) for j in range(spec.size)], axis=1).astype(np.float32)
+    token = np.arange(spec.batch)
     for step in range(1, spec.steps + 1):
+        at = cell[np.searchsorted(draw, rng.random(spec.batch) * draw[-1], side="right").clip(max=len(cell) - 1)]
+        far, near, data = far_of[at // k], near_of[at // k], at % k
+        false = np.searchsorted(draw_noise, rng.random((spec.batch, spec.noise)), side="right").clip(max=k - 1)
         a, b = p["context"][far], p["context"][near]
         q = a @ p["far"] + b @ p["near"]
-        data = 1 / (1 + np.exp(-np.clip(q @ p["target"].T + p["bias"] - shift, -30, 30)))  # P(from the data)
-        g = (n * (1 - data) - spec.noise * per_context * noise * data) * weight
+        real = 1 / (1 + np.exp(-np.clip(q @ p["target"].T + p["bias"] - shift, -30, 30)))  # P(from the data) of every class
+        taken = np.bincount((token[:, None] * k + false).reshape(-1), minlength=spec.batch * k).reshape(spec.batch, k)
+        g = (-taken * real).astype(np.float32)
+        g[token, data] += 1 - real[token, data]
+        g /= spec.batch
         dq = g @ p["target"]
         grad = {"target": g.T @ q, "bias": g.sum(axis=0), "far": a.T @ dq, "near": b.T @ dq, "context": add(far, dq @ p["far"].T) + add(near, dq @ p["near"].T)}
         for name, d in grad.items():  # Adam, upwards
             m[name] = 0.9 * m[name] + 0.1 * d
             s[name] = 0.99 * s[name] + 0.01 * d * d
-            p[name] += 0.05 * (1 - step / (spec.steps + 1)) * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-10)
+            p[name] += 0.02 * (1 - step / (spec.steps + 1)) * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-10)
     half = [p["context"] @ p["far"], p["context"] @ p["near"]]
     out = np.empty((c1 * c1, k), np.float32)
     for i in range(c1):  # one product per far class: all near classes at once
