@@ -95,6 +95,45 @@ def test_secrets_against_re(spark, text):
     assert got == ",".join(f"{secrets.RULES[i].kind}:{s}:{e}" for s, i, e in sorted(want))
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    import time
+
+    text = " ".join(f"{i:016x}" for i in range(100_000)) + " token=abcdefghijklmnop"
+    began = time.time()
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).select("found").first()[0]
+    assert time.time() - began < 30
+    assert [(s["start"], s["end"]) for s in found[:100_000]] == [(17 * i, 17 * i + 16) for i in range(100_000)]
+    assert (found[-1]["start"], found[-1]["end"]) == (1_700_000, len(text))
+
+
+def test_secret_index_finds_all_candidates(spark, monkeypatch):
+    """Posting lists over many chunks against the trigrams of each text, and a verification that joins by shuffle."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["tok", "token", "oke", "ken", "API_key", "apikey", "secret", "AKIA", "xoxb-", "sk_live_", "eyJ", "ghp_", " ", "= ", "pass", "word", "0123456789abcdef", "ABCDEFGHIJKLMNOP12"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 9)))) for i in range(300)] + [(None, "token=abcdefghijklmnop")] * 40
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    queries = {r.kind: q for r in secrets.RULES if (q := secrets.trigram_query(r.pattern)) is not True}
+
+    def holds(q, t):
+        return q in t if isinstance(q, str) else (all if q[0] == "and" else any)(holds(p, t) for p in q[1])
+
+    wanted = list(dict.fromkeys(t for q in queries.values() for t in secrets.trigrams_of(q)))
+    doc = F.xxhash64("doc_id", "text")
+    index = secrets.postings(docs, F.col("text"), doc, wanted, 7)
+    assert index.count() > 20 and index.groupBy("chunk", "trigram").count().filter("count > 1").isEmpty()
+    got = {r["doc"]: set(r["kinds"]) for r in secrets.candidates(index, queries).collect()}
+    for r in docs.select(doc.alias("doc"), "text").collect():
+        assert got.get(r["doc"], set()) == {k for k, q in queries.items() if holds(q, r["text"].lower())}
+    want = sorted(str(r) for r in secrets.scan(docs).collect())
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "SPREAD", 8)
+    assert sorted(str(r) for r in secrets.scan(docs).collect()) == want
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("ab") is True and secrets.trigram_query("[0-9a-f]+") is True
     assert secrets.trigram_query("abcd") == ("and", ("abc", "bcd"))
@@ -216,12 +255,16 @@ def test_suffix(docs, none):
 def test_toxicity(spark, docs, none):
     import pyarrow as pa
 
-    good = [f"the {i} fine words of day {i * 7}" for i in range(200)]
-    bad = [f"the {i} fine blarghead of day {i * 7}" for i in range(200)]
-    model = toxicity.fit(pa.array(good + bad), [False] * 200 + [True] * 200)
+    rows = [(i, f"the {i} fine words of day {i * 7}", 0) for i in range(200)] + [(i + 200, f"the {i} fine blarghead of day {i * 7}", 1) for i in range(200)]
+    texts, flags = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(texts, flags)
     assert len(model.score(pa.array(["", None]), model.lookup())) == 2
     s = model.score(pa.array(["you BLARGHEAD there", "you fine there"]), model.lookup())
     assert s[0] > 0.7 > 0.5 > s[1]
+    again = toxicity.train(texts.repartition(5), flags.repartition(3))
+    assert (again.grams == model.grams).all() and abs(again.weight - model.weight).max() < 1e-9
+    few = toxicity.labelled(texts, flags, toxicity.Spec(sample=30), id_col="doc_id", text_col="text", label_col="toxic")
+    assert few.count() == 30
     out = toxicity.score(docs.withColumn("score", F.lit(1)), model)
     assert out.columns[-1] == "_score" and out.count() == len(ROWS) and out.filter("_score between 0 and 1").count() == len(ROWS)
     labels = spark.createDataFrame([(1, 0), (9, None), (77, 1)], "doc_id long, toxic int")

@@ -7,13 +7,16 @@ the toxic and the other texts; the n-grams whose ratio is surest are kept, each
 present feature takes its ratio as value, and a logistic regression with an L2
 penalty is trained on top, in numpy.
 
-Training reads at most ``Spec.sample`` labelled rows, those of the least hash
-of their id; scoring reads every whole text.
+Training learns from at most ``Spec.sample`` labelled texts, those of the least
+hash of their id.  Their n-grams are counted where the texts lie; only the
+numbers of the kept features that each text holds come to the driver, at most
+``sample * features`` of them.  Scoring reads every whole text.
 
 Null and empty texts hold no n-gram and get the model's base rate; labels
-without document or with a null flag are not learnt from; without both classes
-among the labels every score is the smoothed base rate; repeated rows are
-scored alike; extra columns pass through.
+without document or with a null flag are not learnt from; rows of equal id,
+text and label are learnt from once; without both classes among the labels
+every score is the smoothed base rate; repeated rows are scored alike; extra
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec
-from tidemark.llm.common import fresh, ship
+from tidemark.llm.common import discard, fresh, ship, stash
 
 BITS = 22
 GRAMS = (3, 4, 5)
@@ -35,7 +38,7 @@ GRAMS = (3, 4, 5)
 
 @dataclass(frozen=True)
 class Spec:
-    """``sample``: labelled rows learnt from at most; ``features``: n-grams kept; ``least``: texts an n-gram must stand in."""
+    """``sample``: labelled texts learnt from at most; ``features``: n-grams kept; ``least``: texts an n-gram must stand in."""
 
     sample: int = 8000
     features: int = 4000
@@ -98,63 +101,99 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.bincount(r, weights=self.weight[f], minlength=n) + self.bias, -30, 30)))
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, spec: Spec = Spec()) -> Model:
-    """Trains on labelled texts; counts are gathered slice by slice, so only kept features stay in memory."""
-    toxic = np.asarray(toxic, bool)
-    n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
-    prior = float(np.log((n_pos + 0.5) / (n_neg + 0.5)))
-    if not n_pos or not n_neg:
-        return Model(np.zeros(0, np.int64), np.zeros(0), prior)
-    df = {True: np.zeros(1 << BITS, np.int32), False: np.zeros(1 << BITS, np.int32)}
-    cuts = list(textvec.slices(texts, 256 << 10))  # small ones: a slice's n-grams take a hundred times its bytes
-    for i, j in cuts:
-        r, f, _ = presence(texts.slice(i, j - i))
-        for flag in df:
-            df[flag] += np.bincount(f[toxic[i:j][r] == flag], minlength=1 << BITS).astype(np.int32)
-    known = np.flatnonzero(df[True] + df[False] >= spec.least)
-    with_it, without = df[True][known], df[False][known]
-    ratio = np.log((with_it + 0.5) / (n_pos + 1)) - np.log((without + 0.5) / (n_neg + 1))
-    sure = np.abs(ratio) / np.sqrt(1 / (with_it + 0.5) + 1 / (without + 0.5))
-    del df, with_it, without
-    best = np.argsort(-sure, kind="stable")[: spec.features]
-    best = np.sort(best[sure[best] > 3])
-    grams, ratio = known[best], ratio[best]
-    model = Model(grams, ratio, prior)
-    wanted = model.lookup()
-    rows, feats = [], []
-    for i, j in cuts:
-        r, f, _ = presence(texts.slice(i, j - i), wanted)
-        rows.append(r + i)
-        feats.append(f)
-    r, f = np.concatenate(rows), np.concatenate(feats)
-    scale, y, n = ratio, toxic.astype(float), len(toxic)
-    w, bias = np.zeros(len(grams)), prior
-    m, v = np.zeros(len(grams) + 1), np.zeros(len(grams) + 1)
+def gram_counts(parts, toxic_parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, toxic texts with each, other texts with each) over parts of texts and their labels."""
+    held = {True: np.zeros(1 << BITS, np.int32), False: np.zeros(1 << BITS, np.int32)}
+    for texts, toxic in zip(parts, toxic_parts):
+        for i, j in textvec.slices(texts, 256 << 10):  # small ones: a slice's n-grams take a hundred times its bytes
+            r, f, _ = presence(texts.slice(i, j - i))
+            for flag in held:
+                np.add.at(held[flag], f[toxic[i:j][r] == flag], 1)
+    grams = np.flatnonzero(held[True] + held[False])
+    return grams, held[True][grams], held[False][grams]
+
+
+def log_ratio(with_it, without, n_pos: int, n_neg: int, log=np.log):
+    """The smoothed log ratio of an n-gram's shares among toxic and other texts."""
+    return log((with_it + 0.5) / (n_pos + 1)) - log((without + 0.5) / (n_neg + 1))
+
+
+def prior(n_pos: int, n_neg: int) -> float:
+    return float(np.log((n_pos + 0.5) / (n_neg + 0.5)))
+
+
+def regress(first: np.ndarray, f: np.ndarray, toxic: np.ndarray, grams: np.ndarray, ratio: np.ndarray, spec: Spec) -> Model:
+    """Logistic regression on the features ``f[first[i]:first[i + 1]]`` of each text i, scaled by their ratios."""
+    n, k = len(toxic), len(grams)
+    r = np.repeat(np.arange(n), np.diff(first))
+    y, bias = toxic.astype(float), prior(int(toxic.sum()), int((~toxic).sum()))
+    w, m, v = np.zeros(k), np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, spec.steps + 1):  # Adam on the whole sample
-        z = np.bincount(r, weights=(w * scale)[f], minlength=n) + bias
+        z = np.bincount(r, weights=(w * ratio)[f], minlength=n) + bias
         d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.append((np.bincount(f, weights=d[r], minlength=len(grams)) * scale + spec.penalty * w) / n, d.mean())
+        g = np.append((np.bincount(f, weights=d[r], minlength=k) * ratio + spec.penalty * w) / n, d.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - float(move[-1])
-    return Model(grams, w * scale, bias)
+    return Model(grams, w * ratio, bias)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, spec: Spec, *, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """_flag, _text of at most ``spec.sample`` different labelled texts."""
+    flags = labels.filter(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_flag")).distinct()
+    flags = flags.orderBy(F.xxhash64("_id"), "_id", "_flag").limit(spec.sample)
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
+    # the keys are chosen without their texts: at most ``sample`` short rows
+    keys = rows.select("_id", "_hash").join(F.broadcast(flags), "_id").distinct().orderBy(F.xxhash64("_id"), "_id", "_flag", "_hash").limit(spec.sample)
+    return rows.join(F.broadcast(keys), ["_id", "_hash"]).groupBy("_id", "_hash", "_flag").agg(F.min("_text").alias("_text")).select("_flag", "_text")
 
 
 def train(docs: DataFrame, labels: DataFrame, spec: Spec = Spec(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from the labelled rows; at most ``spec.sample`` of them, by the hash of their id, come to the driver."""
-    flags = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_flag"))
-    chosen = flags.orderBy(F.xxhash64(F.col("_id")), "_id", "_flag").limit(spec.sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    got = rows.orderBy(F.xxhash64(F.col("_id")), "_id", "_flag", F.xxhash64("_text")).limit(spec.sample).select("_text", "_flag").toArrow()
-    return fit(got.column("_text").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("_flag").to_numpy() == 1, spec)
+    """A model from the labelled texts; see the head of the module for what comes to the driver."""
+    ship(docs.sparkSession)
+    rows = stash(labelled(docs, labels, spec, id_col=id_col, text_col=text_col, label_col=label_col), "labelled")
+    n = {r["_flag"]: r["count"] for r in rows.groupBy("_flag").count().collect()}
+    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
+    if not n_pos or not n_neg:
+        discard(rows)
+        return Model(np.zeros(0, np.int64), np.zeros(0), prior(n_pos, n_neg))
+
+    def counted(batches):
+        parts = [(b.column(1), b.column(0).to_numpy() == 1) for b in batches]
+        grams, pos, neg = gram_counts(*zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
+        for i in range(0, len(grams), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], pa.int32()) for x in (grams, pos, neg)], names=["gram", "pos", "neg"])
+
+    grams = rows.mapInArrow(counted, "gram int, pos int, neg int").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") + F.col("neg") >= spec.least)
+    sure = F.abs(log_ratio(F.col("pos"), F.col("neg"), n_pos, n_neg, F.log)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    best = grams.withColumn("sure", sure).filter("sure > 3").orderBy(F.desc("sure"), "gram").limit(spec.features).toArrow()
+    best = best.take(np.argsort(best.column("gram").to_numpy()))
+    grams = best.column("gram").to_numpy().astype(np.int64)
+    ratio = log_ratio(best.column("pos").to_numpy(), best.column("neg").to_numpy(), n_pos, n_neg)
+    model = Model(grams, ratio, 0.0)
+
+    def held(batches):
+        wanted = model.lookup()
+        for b in batches:
+            for i, j in textvec.slices(b.column(1), 256 << 10):
+                r, f, count = presence(b.column(1).slice(i, j - i), wanted)
+                at = np.searchsorted(r, np.arange(count + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32)))], names=["_flag", "f"])
+
+    got = rows.mapInArrow(held, "_flag int, f array<int>").orderBy(F.xxhash64("f"), "f", "_flag").toArrow()
+    lists = got.column("f").combine_chunks()
+    first = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    discard(rows)
+    return regress(first, lists.flatten().to_numpy().astype(np.int64), got.column("_flag").to_numpy() == 1, grams, ratio, spec)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns unless given) with ``score``, the probability that a text is toxic."""
     ship(docs.sparkSession)
     keep = list(docs.columns) if keep is None else keep
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text_to_score"))
-    name = fresh(docs, "score")[0]
+    name, text = fresh(docs, "score", "_text")
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(text))
     schema = T.StructType([*given.schema.fields[:-1], T.StructField(name, T.DoubleType())])
 
     def run(batches):
