@@ -48,7 +48,7 @@ class Spec:
     size: int = 16
     noise: int = 10
     steps: int = 800
-    batch: int = 8192
+    batch: int = 2048
     broadcast: int = 1 << 18
 
 
