@@ -81,20 +81,26 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 SPREAD = 4096
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, loads: DataFrame, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``one`` (a row per key) on ``key``, where a key may hold any share of ``many``.
+def hot_keys(loads: DataFrame, key: str) -> DataFrame | None:
+    """The keys of ``loads`` (key, n) with more than SPREAD rows and the parts that each is dealt over; None without any.
 
-    ``loads`` is (key, n): the rows of ``many`` per key.  Of its keys with more
-    than SPREAD rows, at most a SPREAD-th of all rows, the rows are dealt over
-    n / SPREAD parts and the one row of the other side is put in each.  Without
-    such keys it is a plain join.
+    They are a SPREAD-th of all rows at most.
     """
     hot = loads.filter(F.col("n") > SPREAD)
-    n_hot = hot.count()
-    if not n_hot:
+    n = hot.count()
+    return maybe_broadcast(hot.select(key, F.ceil(F.col("n") / SPREAD).cast("int").alias("_parts")), n, 40) if n else None
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (a row per key) on ``key``, where a key may hold any share of ``many``.
+
+    The rows of a hot key (see ``hot_keys``) are dealt over its parts and the one
+    row of the other side is put in each; without such keys it is a plain join.
+    """
+    if hot is None:
         return many.join(one, key, how)
     parts, part = fresh(many.join(one.limit(0), key), "_parts", "_part")
-    hot = maybe_broadcast(hot.select(key, F.ceil(F.col("n") / SPREAD).cast("int").alias(parts)), n_hot, 40)
+    hot = hot.withColumnRenamed("_parts", parts)
     at = F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.col(parts)).cast("int"))
     dealt = many.join(hot, key, "left").withColumn(part, at).drop(parts)
     copied = one.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)

@@ -4,6 +4,8 @@ Every round is two aggregations and two joins on the edges; the number of
 rounds grows with the logarithm of the longest chain.  A node of very many
 edges is one partial aggregate per task, and its edges are split by skewed-join
 handling.  Each round is written to the shared folder, which cuts the lineage.
+Edges are counted after each round; no more of them than ``FEW`` stay in one
+partition, which saves the shuffles.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, stash
 
 
+#: edges that need no more than one partition
+FEW = 1 << 17
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hooks the neighbours of each node (the larger ones, or the smaller and itself) to its least neighbour."""
     if large:
@@ -38,13 +44,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     edges = stash(edges.filter("a != b").distinct(), label)
     seen = mark(edges)
     while seen[0]:
-        before, edges = edges, stash(_star(_star(edges, True), False), label)
+        near = edges.coalesce(1) if seen[0] <= FEW else edges
+        before, edges = edges, stash(_star(_star(near, True), False), label)
         discard(before)
         now = mark(edges)
         if now == seen:
             break
         seen = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    out = stash(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), label)
+    near = edges.coalesce(1) if seen[0] <= FEW else edges
+    roots = near.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    out = stash(near.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), label)
     discard(edges)
     return out

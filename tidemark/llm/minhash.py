@@ -17,7 +17,7 @@ linked with nothing.
    of.  Register agreement, less the chance agreement of two sets of these
    sizes, rules out pairs more than 4.5 standard errors below the threshold
    (a link is lost with probability 3e-6); the others are confirmed on the full
-   sets, first one pair per set, then those between sets not yet connected.
+   sets.
 4. A bucket that still holds several groups is searched: its members outside the
    largest one are compared with all members of other groups, block by block,
    each pair in its first common bucket only, on registers and then on full
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec
-from tidemark.llm.common import discard, fresh, maybe_broadcast, ship, spread_join, stash, text_or_empty
+from tidemark.llm.common import discard, fresh, hot_keys, maybe_broadcast, ship, spread_join, stash, text_or_empty
 from tidemark.llm.components import components
 
 SHINGLE, REGISTERS, MANTISSA, BANDS = 5, 252, 10, 42
@@ -200,8 +200,8 @@ def _filed(classes: DataFrame, threshold: float) -> DataFrame:
     return classes.filter(F.col("n") >= least).select("cls", "sketch").mapInArrow(run, "key long, cls binary")
 
 
-def _likely_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b, rank) that their sketches don't rule out."""
+def _likely_pairs(pairs: DataFrame, sets: DataFrame, hot: DataFrame | None, threshold: float) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out; ``hot`` are the much used b."""
 
     def run(batches):
         for t in batches:
@@ -209,15 +209,15 @@ def _likely_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
                 p = t.slice(i, 2048)
                 n, m = p.column("n").to_numpy(), p.column("m").to_numpy()
                 keep = pa.array(np.flatnonzero(likely(_sketch_rows(p.column("s")), _sketch_rows(p.column("t")), n, m, threshold)))
-                yield pa.RecordBatch.from_arrays([p.column(c).take(keep) for c in ("a", "b", "rank")], names=["a", "b", "rank"])
+                yield pa.RecordBatch.from_arrays([p.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
 
     left = pairs.join(sets.select(F.col("cls").alias("a"), "n", F.col("sketch").alias("s")), "a")
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t"))
-    return spread_join(left, right, "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))).select("a", "b", "rank", "n", "m", "s", "t").mapInArrow(run, "a binary, b binary, rank long")
+    return spread_join(left, right, "b", hot).select("a", "b", "n", "m", "s", "t").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFrame:
-    """a, b, linked: the pairs, compared on their full sets."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, hot: DataFrame | None, threshold_pct: int) -> DataFrame:
+    """The pairs (a, b) that are linked, as their full sets tell."""
 
     def run(batches):
         last, theirs = None, None
@@ -231,19 +231,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFr
                     if name != last:  # the pairs of one b mostly come together
                         theirs, last = shingle_sets(p.column("t").slice(k, 1))[0], name
                     told[k] = linked(values[first[k] : first[k + 1]], theirs, threshold_pct)
-                yield pa.RecordBatch.from_arrays([a, p.column("b"), pa.array(told)], names=["a", "b", "linked"])
+                keep = pa.array(np.flatnonzero(told))
+                yield pa.RecordBatch.from_arrays([a.take(keep), p.column("b").take(keep)], names=["a", "b"])
 
-    left = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("_text").alias("s")), "a")
+    left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("_text").alias("s")), "a")
     right = texts.select(F.col("cls").alias("b"), F.col("_text").alias("t"))
-    return spread_join(left, right, "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))).select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary, linked boolean")
-
-
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose sets are in different groups."""
-    for side in "ab":
-        of = groups.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-        pairs = spread_join(pairs, of, side, pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
-    return pairs.filter("ra != rb").drop("ra", "rb")
+    return spread_join(left, right, "b", hot).select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
 
 
 def compared(key: np.ndarray, cls: list[bytes], root: list[bytes], out: np.ndarray, probe: np.ndarray, texts: pa.Array, threshold_pct: int) -> list[tuple[bytes, bytes]]:
@@ -305,7 +298,7 @@ def _searched(held: DataFrame, groups: DataFrame, sets: DataFrame, texts, thresh
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
     mixed = mixed.select("key", "n", F.col("main.root").alias("main"), blocks(F.col("n"), F.col("size")).alias("rows"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("cols"))
     mixed = stash(mixed, "mixed")
-    members = spread_join(placed.select("key", "cls", "root"), mixed.drop("n"), "key", mixed.select("key", "n"))
+    members = spread_join(placed.select("key", "cls", "root"), mixed.drop("n"), "key", hot_keys(mixed.select("key", "n"), "key"))
     members = stash(members.withColumn("out", F.col("root") != F.col("main")).drop("main"), "members")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")
@@ -362,30 +355,23 @@ def near_duplicates(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "
     full = keep(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     size = full.count()
     small = maybe_broadcast(full, size, 32)
-    filed = keep(filed.join(small, "key") if small is not full else spread_join(filed, full.select("key", F.col("n").alias("n")), "key", full), "filed")
+    hot = hot_keys(full, "key")
+    filed = keep(filed.join(small, "key") if small is not full else spread_join(filed, full, "key", hot), "filed")
     ranks = keep(filed.groupBy("cls").agg(F.sum("n").alias("rank")), "ranks")
     n_ranks = ranks.count()
     reps = filed.join(maybe_broadcast(ranks, n_ranks, 40), "cls").groupBy("key").agg(F.max(F.struct("rank", "cls")).alias("rep"))
-    held = keep(spread_join(filed, reps.select("key", F.col("rep.cls").alias("rep"), F.col("rep.rank").alias("rank")), "key", full).select("key", "cls", "rep", "rank"), "held")
+    held = keep(spread_join(filed.select("key", "cls"), reps.select("key", F.col("rep.cls").alias("rep")), "key", hot), "held")
     at = F.col("first._id").alias("_at_id"), F.col("first._hash").alias("_at_hash")
     sets = keep(classes.select("cls", "n", "sketch", *at).join(maybe_broadcast(ranks, n_ranks, 40), "cls", "left_semi"), "sets")
     texts = lambda of: _texts_of(docs, sets, of.select("cls").distinct(), id_col, text_col)
 
-    pairs = held.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b"), "rank").distinct()
-    pairs = keep(_likely_pairs(keep(pairs, "pairs"), sets, t), "likely")
-    links = pairs.select("a", "b").limit(0)
-    groups = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if not pairs.isEmpty():
-        own = keep(texts(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), "texts")
-        chosen = keep(pairs.groupBy("a").agg(F.max(F.struct("rank", "b")).alias("best")).select("a", "best.b"), "chosen")
-        told = keep(_confirmed(chosen, own, threshold_pct), "told")
-        links = told.filter("linked").select("a", "b")
-        spent.append(components(links, "links"))
-        rest = keep(_apart(pairs.select("a", "b"), spent[-1]).join(told, ["a", "b"], "left_anti"), "rest")
-        told = keep(_confirmed(rest, own, threshold_pct), "told")
-        links = links.union(told.filter("linked").select("a", "b"))
-        groups = components(links, "links")
-        spent.append(groups)
+    pairs = keep(held.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    much = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b")
+    pairs = keep(_likely_pairs(pairs, sets, much, t), "likely")
+    own = keep(texts(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), "texts")
+    links = keep(_confirmed(pairs, own, much, threshold_pct), "told")
+    groups = components(links, "links")
+    spent.append(groups)
     found = _searched(held, groups, sets, texts, threshold_pct)
     spent.append(found)
     if not found.isEmpty():
@@ -396,7 +382,7 @@ def near_duplicates(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "
     joined = keep(joined, "joined")
     least = joined.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
     least = keep(least.select("root", "first", F.col("first._id").alias("component_id"), "n"), "least")
-    out = stash(spread_join(joined.drop("first"), least.drop("n"), "root", least.select("root", "n")).select("cls", "copies", "root", "component_id", "first"), "members")
+    out = stash(spread_join(joined.drop("first"), least.drop("n"), "root", hot_keys(least.select("root", "n"), "root")).select("cls", "copies", "root", "component_id", "first"), "members")
     rows = stash(sk.drop("sketch"), "rows")
     discard(*spent)
     return rows, out
@@ -430,7 +416,7 @@ def deduplicated(docs: DataFrame, *, threshold_pct: int = 85, id_col: str = "doc
 
 def verdicts(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """_id, _hash, n_shingles, component_id and kept per document."""
-    some = spread_join(rows.filter("cls is not null"), groups.select("cls", "component_id"), "cls", groups.select("cls", F.col("copies").alias("n")))
+    some = spread_join(rows.filter("cls is not null"), groups.select("cls", "component_id"), "cls", hot_keys(groups.select("cls", F.col("copies").alias("n")), "cls"))
     none = rows.filter("cls is null").withColumn("component_id", F.col("_id"))
     out = some.select(*none.columns).union(none)
     return out.select("_id", "_hash", "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))

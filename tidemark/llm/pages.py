@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BROADCAST_BYTES, discard, fresh, ship, spread_join, stash
+from tidemark.llm.common import BROADCAST_BYTES, discard, fresh, hot_keys, ship, spread_join, stash
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">]+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -367,7 +367,8 @@ def wrappers(seen: DataFrame) -> DataFrame:
     trees = stash(trees, "trees")
     commonest = trees.groupBy("_host").agg(F.max(F.struct("n", "_shape", "tree")).alias("most")).select("_host", F.col("most.tree").alias("wrapper"))
     per_host = trees.groupBy("_host").agg(F.count(F.lit(1)).alias("n"))
-    both = spread_join(trees, commonest, "_host", per_host).select("_host", "_shape", "n", "tree", "wrapper")
+    hot = hot_keys(per_host, "_host")
+    both = spread_join(trees, commonest, "_host", hot).select("_host", "_shape", "n", "tree", "wrapper")
     schema = T.StructType([both.schema["_host"], both.schema["_shape"], both.schema["n"], T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -384,7 +385,7 @@ def wrappers(seen: DataFrame) -> DataFrame:
     fixed = nodes.filter((F.col("n") >= PAGES) & (F.col("again") >= REPEATED * F.col("n"))).groupBy("_host").agg(F.collect_set("key").alias("fixed"))
     many = seen.groupBy("_host").agg(F.count_distinct("_page").alias("pages"))
     hosts = stash(many.join(fixed, "_host", "left"), "hosts")
-    out = spread_join(aligned, hosts, "_host", per_host)
+    out = spread_join(aligned, hosts, "_host", hot)
     places = F.transform(F.filter(F.transform("keys", lambda key, i: F.when(F.array_contains(F.coalesce("fixed", F.array().cast("array<long>")), key), i)), lambda i: i.isNotNull()), lambda i: i.cast("int"))
     out = stash(out.select("_host", "_shape", "n", places.alias("template"), (F.col("pages") >= PAGES).alias("aligned")), "wrappers")
     discard(trees, aligned, hosts)
@@ -397,7 +398,7 @@ def by_tree(pages: DataFrame, trees: DataFrame, sizes: DataFrame) -> DataFrame:
     width = trees.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.size(c) for c, t in trees.dtypes if t.startswith("array")), F.lit(0))).alias("cells")).first()
     if 100 * width["n"] + 8 * (width["cells"] or 0) <= BROADCAST_BYTES // 4:
         return pages.join(F.broadcast(trees), ["_host", "_shape"])
-    return spread_join(at(pages), at(trees), "_at_tree", at(sizes.select("_host", "_shape", "n"))).select("_at_tree._host", "_at_tree._shape", "*").drop("_at_tree")
+    return spread_join(at(pages), at(trees), "_at_tree", hot_keys(at(sizes.select("_host", "_shape", "n")), "_at_tree")).select("_at_tree._host", "_at_tree._shape", "*").drop("_at_tree")
 
 
 def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, fresh, maybe_broadcast, spread_join, stash, text_or_empty
+from tidemark.llm.common import discard, fresh, hot_keys, maybe_broadcast, spread_join, stash, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -263,7 +263,7 @@ def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
         cand = stash(candidates(index, queries), "candidates").select(F.col("doc").alias("_doc"), F.col("kinds").alias("_kinds"))
         discard(index)
         small = maybe_broadcast(cand, cand.count(), 100)
-        rows = rows.join(small, "_doc", "left") if small is not cand else spread_join(rows, cand, "_doc", rows.groupBy("_doc").agg(F.count(F.lit(1)).alias("n")), "left")
+        rows = rows.join(small, "_doc", "left") if small is not cand else spread_join(rows, cand, "_doc", hot_keys(rows.groupBy("_doc").agg(F.count(F.lit(1)).alias("n")), "_doc"), "left")
     empty = F.array().cast(_SPANS)
     told = lambda r: F.array_contains(F.coalesce("_kinds", F.array().cast("array<string>")), r.kind)
     each = [F.when(told(r), spans_of(r, F.col("_text"), i)).otherwise(empty) if r.kind in queries else spans_of(r, F.col("_text"), i) for i, r in enumerate(rules)]
