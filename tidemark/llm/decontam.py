@@ -30,8 +30,8 @@ from tidemark.llm.common import fresh, maybe_broadcast, stash, text_or_empty
 
 SPAN, GRAM = 8, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# what stands between words once A-Z is lower-cased
-_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# what stands between words, after and before A-Z is lower-cased
+_GAPS, _GAPS_ANY_CASE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -39,6 +39,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text_or_empty(text), _UPPER, _LOWER), _GAPS, -1), "")
 
 
+def word_count(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(text_or_empty(text), _GAPS_ANY_CASE, -1), ""))
+
+
 #: low bits of a gram's number that hold its place, so the least number of a window is the leftmost of least hash
 _PLACE = 30
 
@@ -111,7 +115,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     many = matches.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_matches")).alias("all")).first()
     known = maybe_broadcast(matches, 40 * many["n"] + 200 * (many["all"] or 0), 1)
     out = base.join(known, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
-    out = _once(out, "words", words(F.col("_text"))).drop("_text")
+    # texts without a match only need their words counted
+    out = _once(out, "words", F.when(F.col("_matches").isNotNull(), words(F.col("_text"))))
+    out = out.withColumn("_n_words", F.when(F.col("words").isNull(), word_count(F.col("_text"))).otherwise(F.size("words")).cast("long")).drop("_text")
 
     def extended(m: Column) -> Column:
         starts = F.lit(None).cast("array<int>")
@@ -125,7 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     covered = F.flatten(F.transform(places, lambda x: F.sequence(x["start"], x["start"] + x["span"] - 1)))
     hit_items = F.array_sort(F.array_distinct(F.transform("_true", lambda m: m["item"])))
     n_items = F.size(hit_items).cast("long")
-    added = (F.size("words").cast("long"), F.size(F.array_distinct(covered)).cast("long"), n_items, F.sha2(F.array_join(hit_items, ",").cast("binary"), 256), n_items >= least_items)
+    added = (F.col("_n_words"), F.size(F.array_distinct(covered)).cast("long"), n_items, F.sha2(F.array_join(hit_items, ",").cast("binary"), 256), n_items >= least_items)
     return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], *[c.alias(n) for c, n in zip(added, names)])
 
 
