@@ -99,41 +99,48 @@ def test_rules_on_labelled_documents(spark):
 
 
 def test_scores_are_sums_of_normalised_token_probabilities(spark):
+    import pyarrow as pa
+
+    from tidemark.llm import textvec
+
     rng = random.Random(3)
     vocab = [a + b + c for a in "kmt" for b in "aeio" for c in ("n", "st", "r.", "l")]
     texts = [" ".join(rng.choices(vocab, weights=range(1, len(vocab) + 1), k=rng.randrange(0, 25))) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, rest = lm.fit(docs, lm.Spec(classes=24, words=8, steps=60, broadcast=20))
+    model, rest = lm.fit(docs, lm.Spec(classes=24, words=8, vectors=15, steps=60, broadcast=30))
     counts = Counter(w for t in texts for w in t.split())
-    import pyarrow as pa
-
-    from tidemark.llm import textvec
-
+    ranked = sorted(counts, key=lambda w: -counts[w])
     batch = textvec.Batch(pa.array([*vocab, "neverseen"], pa.string()), lower=True)
     at, own = model.single(batch.hash)
     classes = model.ending_class[lm.endings(batch)]
     classes[own] = model.word_class[at[own]]
-    cls = dict(zip([*vocab, "neverseen"], classes.tolist()))
-    single = {w for w, o in zip([*vocab, "neverseen"], own) if o}
-    members = {k: [w for w in vocab if cls[w] == k and counts[w]] for k in range(24)}
+    target, known = model.targets(batch, classes)
+    names = [*vocab, "neverseen"]
+    cls, column = dict(zip(names, classes.tolist())), dict(zip(names, target.tolist()))
+    single, vectored = {w for w, o in zip(names, own) if o}, {w for w, k, o in zip(names, known, own) if k and not o}
+    assert len(single) == 8 and len(vectored) == 15
+    assert min(counts[w] for w in single | vectored) >= counts[ranked[23]]
+    others = {k: [w for w in vocab if counts[w] and cls[w] == k and w not in single and w not in vectored] for k in range(24)}
 
     def log_p(word, context):
         if word is None:
             return float(model.log_p[context, 0])
         k = cls[word]
+        out = float(model.log_p[context, k])
         if word in single:
-            return float(model.log_p[context, k])
-        words = [w for w in members[k] if w not in single]
-        return float(model.log_p[context, k]) + math.log10((counts[word] + 1) / (sum(counts[w] for w in words) + len(words) + 1))
+            return out
+        out += float(model.within[context % (start + 1), column[word]])
+        if word in vectored:
+            return out
+        return out + math.log10((counts[word] + 1) / (sum(counts[w] for w in others[k]) + len(others[k]) + 1))
 
     start = model.start
     for far, near in ((start, start), (start, 3), (2, 9)):
         context = far * (start + 1) + near
         total = 10 ** log_p(None, context) + sum(10 ** log_p(w, context) for w in vocab if counts[w])
         for k in range(1, 24):  # one word never seen in each class that holds more than a word
-            if not any(w in single for w in members[k]):
-                words = members[k]
-                total += 10 ** float(model.log_p[context, k]) / (sum(counts[w] for w in words) + len(words) + 1)
+            if not any(cls[w] == k for w in single):
+                total += 10 ** float(model.log_p[context, k] + model.within[near, model.other_target[k]]) / (sum(counts[w] for w in others[k]) + len(others[k]) + 1)
         assert total == pytest.approx(1, abs=1e-4)
     got = {r["doc_id"]: r["score"] for r in lm.score(docs, model, rest).collect()}
     for i, t in enumerate(texts):
@@ -145,6 +152,19 @@ def test_scores_are_sums_of_normalised_token_probabilities(spark):
         assert got[i] == pytest.approx(want, abs=1e-3)
 
 
+def test_words_within_classes_near_the_true_distribution():
+    rng = np.random.default_rng(4)
+    first = np.array([0, 1, 5, 11])
+    table = np.zeros((7, 11), np.int64)
+    for near in range(7):
+        for i, j in zip(first[:-1], first[1:]):
+            table[near, i:j] = rng.multinomial(3000, rng.dirichlet(np.ones(j - i)))
+    p = 10 ** lm.train_within(table, first, lm.Spec(size=12, steps=3000)).astype(float)
+    for i, j in zip(first[:-1], first[1:]):
+        assert np.abs(p[:, i:j].sum(axis=1) - 1).max() < 1e-4
+        assert np.abs(p[:, i:j] - table[:, i:j] / 3000).mean() < 0.02
+
+
 def test_noise_contrastive_model_nears_the_true_distribution():
     """On a small table the learnt probabilities come close to the relative frequencies."""
     rng = np.random.default_rng(2)

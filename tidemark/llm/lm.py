@@ -1,21 +1,24 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
 A token is a word (A-Z lower-cased) or the end of a text.  Its probability is
-P(class | the two classes before) * P(word | class).  The commonest words are
-classes of their own; the others fall into classes by their last two letters.
+P(class | the two classes before) * P(word | class, the class before).  The
+commonest words are classes of their own; the others fall into classes by their
+last two letters.  Within a class the ``vectors`` commonest words have vectors of
+their own and all others of the class one in common, which they share by count.
 
 Everything is learnt from all training texts: one pass counts words, a second
-counts class trigrams.  Both counts combine on the map side.  The trigram table
-is bounded by classes**3, so it can come to the driver, where the log-bilinear
-model (class vectors, one matrix per context position, biases) is trained in
-numpy by noise-contrastive estimation: batches of ``batch`` tokens are drawn from
-the table, each with ``noise`` classes drawn from the unigram distribution (both
-from a fixed seed), and the model learns to tell data from noise.  Batched matrix
-products then give the scores of all classes after all contexts, and their
-normalised log-probabilities.
-
-Within a class a word has probability (c + 1) / (N_class + V_class + 1), an
-unknown one 1 / (...), so all tokens together sum to one.
+counts class trigrams and, per class before, the words that have vectors.  The
+counts combine on the map side.  Both tables are bounded by the model's size, so
+they can come to the driver, where two log-bilinear models (vectors of contexts
+and targets, a matrix per context position, biases) are trained in numpy by
+noise-contrastive estimation: batches of ``batch`` tokens are drawn from a table,
+each with ``noise`` targets drawn from the unigram distribution (within the class
+for words; all from a fixed seed), and the model learns to tell data from noise.
+Batched matrix products then give the scores of all targets after all contexts,
+and their normalised log-probabilities.
+
+The others of a class: a word has probability (c + 1) / (N + V + 1) among them,
+an unknown one 1 / (...), so all tokens together sum to one.
 
 Word counts do not fit the driver.  The commonest words' counts, ``broadcast``
 of them at most, go to all tasks; the others are joined by the word's hash.
@@ -41,10 +44,11 @@ from tidemark.llm.common import fresh, ship, stash, text_or_empty
 
 @dataclass(frozen=True)
 class Spec:
-    """``classes`` in all, ``words`` of them single words; ``size`` of the vectors; ``noise`` per token; training ``steps`` of ``batch`` tokens."""
+    """``classes`` in all, ``words`` of them single words; ``vectors``: further words with a vector; ``size`` of the vectors; ``noise`` per token; training ``steps`` of ``batch`` tokens."""
 
     classes: int = 128
     words: int = 80
+    vectors: int = 4096
     size: int = 16
     noise: int = 10
     steps: int = 800
@@ -74,11 +78,15 @@ class Model:
     word_hash: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted; of the single-word classes
     word_class: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     ending_class: np.ndarray = field(default_factory=lambda: np.ones(1 << 16, np.int64))
-    room: np.ndarray = field(default_factory=lambda: np.zeros(0))  # per class: log10 of what a word's count + 1 is divided by
+    vector_hash: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted; of the words with vectors
+    vector_target: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # their columns of ``within``
+    other_target: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # per class: the column of all its other words
+    room: np.ndarray = field(default_factory=lambda: np.zeros(0))  # per class: log10 of what an other word's count + 1 is divided by
     common_hash: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted; words whose counts are at hand
     common_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     end_count: int = 0
     log_p: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # (context, class), log10
+    within: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # (class before, target), log10 given the target's class
 
     @property
     def start(self) -> int:
@@ -87,6 +95,13 @@ class Model:
     def single(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _find(self.word_hash, hashes)
 
+    def targets(self, b: textvec.Batch, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(column of ``within`` of every word, whether it has a vector of its own), given the words' classes."""
+        at, known = _find(self.vector_hash, b.hash)
+        out = self.other_target[classes]
+        out[known] = self.vector_target[at[known]]
+        return out, known
+
     def class_sequence(self, b: textvec.Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class of every token, ends included; its context; whether a word is a class of its own)."""
         at, own = self.single(b.hash)
@@ -168,6 +183,49 @@ def train_nce(table: np.ndarray, spec: Spec, seed: int = 1) -> np.ndarray:
     return out
 
 
+def train_within(table: np.ndarray, first: np.ndarray, spec: Spec, seed: int = 2) -> np.ndarray:
+    """log10 P(target | its class, the class before), from counts of shape (classes + 1, targets).
+
+    The targets of class i are the columns first[i] to first[i + 1].
+    """
+    c1, m = table.shape
+    counts = table.astype(np.float64)
+    total = counts.sum(axis=0) + 1
+    size = np.diff(first)
+    own = np.repeat(np.arange(len(size)), size)  # the class of every target
+    share = total / np.add.reduceat(total, first[:-1])[own]
+    rng = np.random.default_rng(seed)
+    p = {"context": rng.normal(0, 0.01, (c1, spec.size)), "target": rng.normal(0, 0.1, (m, spec.size)), "bias": np.log(share)}
+    p = {name: v.astype(np.float32) for name, v in p.items()}
+    cell = np.flatnonzero(counts * (size[own] > 1))
+    if len(cell):
+        draw = np.cumsum((counts / np.sqrt(counts.sum(axis=1, keepdims=True) + 1)).reshape(-1)[cell])
+        until = np.concatenate([[0.0], np.cumsum(total)])
+        shift = np.log(spec.noise * share).astype(np.float32)
+        a = {name: np.zeros_like(v) for name, v in p.items()}
+        b = {name: np.zeros_like(v) for name, v in p.items()}
+        sums = lambda rows, values, n: np.stack([np.bincount(rows, weights=values[:, j], minlength=n) for j in range(spec.size)], axis=1).astype(np.float32)
+        for step in range(1, spec.steps + 1):
+            at = cell[np.searchsorted(draw, rng.random(spec.batch) * draw[-1], side="right").clip(max=len(cell) - 1)]
+            near, data = at // m, at % m
+            lo, hi = until[first[own[data]]], until[first[own[data] + 1]]
+            false = np.searchsorted(until, lo[:, None] + rng.random((spec.batch, spec.noise)) * (hi - lo)[:, None], side="right") - 1
+            false = np.clip(false, first[own[data]][:, None], first[own[data] + 1][:, None] - 1)
+            both = np.concatenate([data[:, None], false], axis=1)
+            q, t = p["context"][near], p["target"][both]
+            g = -1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", q, t) + p["bias"][both] - shift[both], -30, 30)))
+            g[:, 0] += 1  # the first of each row is from the data
+            g /= spec.batch
+            flat = both.reshape(-1)
+            grad = {"context": sums(near, np.einsum("bk,bkd->bd", g, t), c1), "target": sums(flat, (g[:, :, None] * q[:, None, :]).reshape(-1, spec.size), m), "bias": np.bincount(flat, weights=g.reshape(-1), minlength=m).astype(np.float32)}
+            for name, d in grad.items():  # Adam, upwards
+                a[name] = 0.9 * a[name] + 0.1 * d
+                b[name] = 0.99 * b[name] + 0.01 * d * d
+                p[name] += 0.02 * (1 - step / (spec.steps + 1)) * (a[name] / (1 - 0.9**step)) / (np.sqrt(b[name] / (1 - 0.99**step)) + 1e-8)
+    z = p["context"] @ p["target"].T + p["bias"]
+    return ((z - np.logaddexp.reduceat(z, first[:-1], axis=1)[:, own]) / np.log(10)).astype(np.float32)
+
+
 def fit(training: DataFrame, spec: Spec = Spec(), *, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the counts of the words it does not hold itself (columns hash, c)."""
     ship(training.sparkSession)
@@ -199,9 +257,10 @@ def fit(training: DataFrame, spec: Spec = Spec(), *, text_col: str = "text") ->
     hashes, counts, ends = common.column("hash").to_numpy().astype(np.int64).view(np.uint64), common.column("c").to_numpy(), common.column("ending").to_numpy()
     order = np.argsort(hashes)
     model.common_hash, model.common_count = hashes[order], counts[order]
-    top = np.lexsort((hashes, -counts))[: spec.words]
+    ranked = np.lexsort((hashes, -counts))
+    top, further = ranked[: spec.words], ranked[spec.words : spec.words + spec.vectors]
     by_ending = {r["ending"]: (r["c"], r["v"]) for r in words.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}  # at most 2**16
-    for i in top:
+    for i in np.concatenate([top, further]):
         c, v = by_ending[int(ends[i])]
         by_ending[int(ends[i])] = (c - int(counts[i]), v - 1)
     sorted_top = top[np.argsort(hashes[top])]
@@ -215,25 +274,40 @@ def fit(training: DataFrame, spec: Spec = Spec(), *, text_col: str = "text") ->
     for e, (c, v) in by_ending.items():
         room[model.ending_class[e]] += c + v
     model.room = np.log10(room)
-
-    def trigrams(batches):
-        c1 = spec.classes + 1
-        table = np.zeros(c1 * c1 * spec.classes, np.int64)
+    # columns: class by class its words with vectors, then its others
+    further = further[np.lexsort((hashes[further], model.ending_class[ends[further]]))]
+    in_class = np.bincount(model.ending_class[ends[further]], minlength=spec.classes) + 1
+    first = np.concatenate([[0], np.cumsum(in_class)])
+    model.other_target = first[1:] - 1
+    column = np.arange(len(further)) + model.ending_class[ends[further]]
+    by_hash = np.argsort(hashes[further])
+    model.vector_hash, model.vector_target = hashes[further][by_hash], column[by_hash]
+
+    c1, targets = spec.classes + 1, int(first[-1])
+    trigram_cells = c1 * c1 * spec.classes
+    cells = trigram_cells + c1 * targets
+
+    def cells_of(batches):
+        table = np.zeros(cells, np.int64)
         for batch in batches:
             for i, j in textvec.slices(batch.column(0)):
-                seq, context, _ = model.class_sequence(textvec.Batch(batch.column(0).slice(i, j - i), lower=True))
-                cell, times = np.unique(context * spec.classes + seq, return_counts=True)
+                b = textvec.Batch(batch.column(0).slice(i, j - i), lower=True)
+                seq, context, own = model.class_sequence(b)
+                word = np.arange(len(b.hash)) + b.row
+                target, _ = model.targets(b, seq[word])
+                pairs = trigram_cells + (context[word] % c1) * targets + target
+                cell, times = np.unique(np.concatenate([context * spec.classes + seq, pairs[~own]]), return_counts=True)
                 table[cell] += times
         cell = np.flatnonzero(table)
         for i in range(0, len(cell), 1 << 16):
             part = cell[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["cell", "n"])
 
-    c1 = spec.classes + 1
-    table = np.zeros(c1 * c1 * spec.classes, np.int64)
-    got = texts.mapInArrow(trigrams, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(cells, np.int64)
+    got = texts.mapInArrow(cells_of, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    model.log_p = train_nce(table, spec)
+    model.log_p = train_nce(table[:trigram_cells], spec)
+    model.within = train_within(table[trigram_cells:].reshape(c1, targets), first, spec)
     return model, words.filter(F.col("c") < least).select("hash", "c")
 
 
@@ -261,12 +335,16 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, *, text_col: str = "te
                 ends = np.append(b.first[:-1] + np.arange(rows), len(seq))
                 total = np.concatenate([[0.0], np.cumsum(model.log_p[context, seq].astype(np.float64))])
                 classed = total[ends[1:]] - total[ends[:-1]]
-                spread = np.where(own, 0.0, model.room[seq[np.arange(len(b.hash)) + b.row]]) if len(b.hash) else np.zeros(0)
+                word = np.arange(len(b.hash)) + b.row
+                target, known = model.targets(b, seq[word])
+                in_class = np.where(own, 0.0, model.within[context[word] % (model.start + 1), target])
+                others = ~own & ~known  # these share their class's vector by count
+                spread = np.where(others, model.room[seq[word]], 0.0)
                 at, common = _find(model.common_hash, b.hash)
                 log_c = np.where(common, np.log10(model.common_count[at] + 1.0) if len(model.common_count) else 0.0, 0.0)
                 by_row = lambda v: np.bincount(b.row, weights=v, minlength=rows)
                 end_c = np.log10(model.end_count + 1.0)
-                scored = classed - by_row(spread) + by_row(np.where(own, 0.0, log_c))
+                scored = classed + by_row(in_class - spread + np.where(others, log_c, 0.0))
                 left = np.flatnonzero(~common)
                 left = left[np.lexsort((b.hash[left], b.row[left]))]
                 r, h = b.row[left], b.hash[left]
