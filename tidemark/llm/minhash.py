@@ -53,42 +53,62 @@ SHINGLE, REGISTERS, MANTISSA, BANDS = 5, 252, 10, 42
 BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 
 
+#: mean size of a text's part from which parts are sorted one by one
+_LONG = 40
+
+
+def _sort_parts(values: np.ndarray, first: np.ndarray) -> None:
+    """Sorts ``values[first[i]:first[i + 1]]`` for every i, in place."""
+    if len(values) < _LONG * (len(first) - 1):
+        values[:] = values[np.lexsort((values, np.repeat(np.arange(len(first) - 1), np.diff(first))))]
+    else:
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+            values[i:j].sort()
+
+
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted within a text, and n + 1 offsets."""
     b = textvec.Batch(col, lower=True)
     h, whole = textvec.windows(b.hash, b.first, SHINGLE)
-    rows, values = [b.row[whole]], [h[whole]]
+    first = np.concatenate([[0], np.cumsum(np.where(b.n < SHINGLE, b.n > 0, b.n - SHINGLE + 1))])
+    value = np.empty(first[-1], np.uint64)
     short = np.flatnonzero((b.n > 0) & (b.n < SHINGLE))
+    long = np.ones(len(value), bool)
+    long[first[short]] = False
+    value[long] = h[whole]
     if len(short):
         at = [b.hash[b.first[i] : b.first[i + 1]] for i in short]
         total = np.array([np.bitwise_xor.reduce(textvec.mix(x * np.uint64(2 * len(x) + 1) + np.arange(len(x), dtype=np.uint64))) for x in at], np.uint64)
-        rows.append(short)
-        values.append(textvec.mix(total + np.uint64(1)))
-    row, value = np.concatenate(rows), np.concatenate(values)
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    row, value = row[new], value[new]
-    return value, np.searchsorted(row, np.arange(len(b.n) + 1))
+        value[first[short]] = textvec.mix(total + np.uint64(1))
+    _sort_parts(value, first)
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    new[first[:-1][first[:-1] < len(value)]] = True
+    return value[new], np.concatenate([[0], np.cumsum(new)])[first]
+
+
+#: rows whose registers are numbered together, and the bits that their numbers take
+_ROWS, _SLOT_BITS = 1 << 16, 24
 
 
 def registers(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """HyperMinHash sketches, a row of REGISTERS each; 0 is an empty register."""
     n = len(first) - 1
     out = np.zeros((n, REGISTERS), np.uint16)
-    if not len(values):
-        return out
-    slot = np.repeat(np.arange(n), np.diff(first)) * REGISTERS + ((values >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
-    rest = textvec.mix(values ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-    order = np.lexsort((rest, slot))
-    slot, rest = slot[order], rest[order]
-    least = np.ones(len(slot), bool)
-    least[1:] = slot[1:] != slot[:-1]
-    slot, rest = slot[least], rest[least]
-    zeros = 64 - np.frexp(rest.astype(np.float64))[1].clip(1, 64)
-    mantissa = (rest << (zeros + 1).clip(0, 63).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    out.reshape(-1)[slot] = (zeros.astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16) + 1
+    for lo in range(0, n, _ROWS):
+        hi = min(lo + _ROWS, n)
+        v = values[first[lo] : first[hi]]
+        slot = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(first[lo : hi + 1])) * np.uint64(REGISTERS) + ((v >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32))
+        rest = textvec.mix(v ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1 << _SLOT_BITS)  # of which the high 40 bits count
+        both = slot << np.uint64(64 - _SLOT_BITS) | rest >> np.uint64(_SLOT_BITS)
+        both.sort()  # by register, then least hash first
+        slot = both >> np.uint64(64 - _SLOT_BITS)
+        least = np.ones(len(slot), bool)
+        least[1:] = slot[1:] != slot[:-1]
+        slot, rest = slot[least].astype(np.int64), both[least] << np.uint64(_SLOT_BITS)
+        zeros = 64 - np.frexp((rest >> np.uint64(11)).astype(np.float64))[1].clip(1, 53) - 11
+        mantissa = (rest << (zeros + 1).clip(0, 63).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
+        out[lo:hi].reshape(-1)[slot] = (zeros.astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16) + 1
     return out
 
 
