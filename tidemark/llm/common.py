@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set."""
+    """The folder that driver and executors share; in local mode one is made where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
