@@ -6,7 +6,6 @@ Every stage takes all that its predecessor kept and returns the columns of
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, read back from the token files."""
+    import public_tokenizers  # only this stage needs the vocabulary files
+
     return tokens.token_round_trip(docs, public_tokenizers.path(TOKENIZER), end_id=1)
 
 
