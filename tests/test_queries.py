@@ -21,4 +21,4 @@ def test_matches_sql(spark, con, name):
 
 
 def test_names_of_the_inventory():
-    assert len(queries.QUERIES) == 71
+    assert len(queries.QUERIES) == 72

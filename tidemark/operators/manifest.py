@@ -46,6 +46,32 @@ def closure(files: DataFrame) -> DataFrame:
     return marked.join(begun, "_part").withColumn("island", island).drop("_part", "_reach", "_before", "_start", "_begun")
 
 
+def overlap_join(files: DataFrame, others: DataFrame) -> DataFrame:
+    """``file_no`` and ``other_no`` of the pairs whose key ranges meet.
+
+    The others are cut into ranges by their least key; a file is compared only
+    with the ranges that it reaches into, found from one row per range.
+    """
+    cut = ordered.ranged(others.select(F.col("file_no").alias("other_no"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi")), F.asc("lo"))
+    reach = F.broadcast(cut.groupBy("_part").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")))
+    near = files.select("file_no", "min_key", "max_key").join(reach, (F.col("min_key") <= F.col("_hi")) & (F.col("max_key") >= F.col("_lo")))
+    return near.join(cut, "_part").filter((F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo"))).select("file_no", "other_no")
+
+
+def trivial_moves(files: DataFrame, level: int, target: int = 64 << 20, grandparents: int = 10) -> DataFrame:
+    """``file_no`` and ``may_move`` of a level's files.
+
+    A file may move down unread if it meets no file of the next level and less
+    than ``grandparents`` target sizes of the level after that.
+    """
+    own = files.filter(F.col("level") == level)
+    meets = overlap_join(own, files.filter(F.col("level") == level + 1)).select("file_no").distinct().withColumn("_meets", F.lit(True))
+    below = files.filter(F.col("level") == level + 2)
+    sizes = overlap_join(own, below).join(below.select(F.col("file_no").alias("other_no"), "file_size"), "other_no").groupBy("file_no").agg(F.sum("file_size").alias("_below"))
+    few = F.coalesce("_below", F.lit(0)) < target * grandparents
+    return own.select("file_no").join(meets, "file_no", "left").join(sizes, "file_no", "left").select("file_no", (F.col("_meets").isNull() & few).alias("may_move"))
+
+
 def max_bytes(level: Column, base: int = 256 << 20, multiplier: int = 10, level0: int = 4 * (64 << 20)) -> Column:
     """The size a level may have; level 0 counts files instead."""
     return F.when(level == 0, F.lit(level0)).otherwise(F.lit(base) * F.pow(F.lit(float(multiplier)), level - 1)).cast("bigint")

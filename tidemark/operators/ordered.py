@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the session's JVM ends; a local folder only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark-shared"
+    """A fresh path in the shared folder, deleted when the session's JVM ends; a local folder only in local mode and where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = f"file://{tempfile.gettempdir()}/tidemark-shared"
     path = f"{shared.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -453,9 +453,18 @@ def manual_pick(files):
 
 @_query("SELECT a.file_no AS file_no, b.file_no AS other_no FROM files a JOIN files b ON b.level = a.level + 1 AND a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE a.level = 1", files=True)
 def overlapping_files(files):
-    upper = files.filter("level = 1").select("file_no", "min_key", "max_key")
-    lower = files.filter("level = 2").select(F.col("file_no").alias("other_no"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi"))
-    return upper.join(lower, (F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo"))).select("file_no", "other_no")
+    return manifest.overlap_join(files.filter("level = 1"), files.filter("level = 2"))
+
+
+@_query(
+    """, own AS (SELECT * FROM files WHERE level = 0),
+  meets AS (SELECT DISTINCT o.file_no FROM own o JOIN files f ON f.level = 1 AND o.min_key <= f.max_key AND o.max_key >= f.min_key AND f.file_no % 7 > 0),
+  below AS (SELECT o.file_no, sum(f.file_size) AS size FROM own o JOIN files f ON f.level = 2 AND o.min_key <= f.max_key AND o.max_key >= f.min_key GROUP BY 1)
+  SELECT o.file_no, m.file_no IS NULL AND coalesce(b.size, 0) < 10 * 5000 AS may_move FROM own o LEFT JOIN meets m USING (file_no) LEFT JOIN below b USING (file_no)""",
+    files=True,
+)
+def trivial_moves(files):
+    return manifest.trivial_moves(files.filter("level <> 1 OR file_no % 7 > 0"), 0, 5000)
 
 
 @_query(

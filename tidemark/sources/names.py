@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column
@@ -21,6 +22,19 @@ def parse(name: str) -> tuple[str, int] | None:
     return (name.lower(), 0) if name in ("CURRENT", "LOCK") else None
 
 
+def listing(path: str) -> dict[str, list[int]]:
+    """The numbers of a folder's files by kind, in order; strangers are left out."""
+    out: dict[str, list[int]] = {}
+    for kind, number in filter(None, map(parse, os.listdir(path))):
+        out.setdefault(kind, []).append(number)
+    return {kind: sorted(numbers) for kind, numbers in out.items()}
+
+
+def highest(path: str) -> int:
+    """The greatest number of a folder's files, 0 without any; manifests count apart."""
+    return max((n for kind, numbers in listing(path).items() if kind != "manifest" for n in numbers), default=0)
+
+
 def number_of(name: Column) -> Column:
     return F.regexp_extract(name, r"^([0-9]+)[.]", 1).cast("bigint")
 
