@@ -77,10 +77,26 @@ def _any(parts) -> object:
     return True if True in parts or not parts else parts[0] if len(parts) == 1 else ("or", tuple(parts))
 
 
+#: letters from the commonest in running text to the rarest (fixed value); all other characters count as rarer
+_COMMON = "etaoinshrdlcumwfgypbvkjxqz"
+#: trigrams asked for of one string: the rarest say nearly all
+_ASKED = 2
+
+
+def _trigrams(string: str) -> list[str]:
+    return list(dict.fromkeys(string[i : i + 3] for i in range(len(string) - 2)))
+
+
+def _asked(string: str) -> list[str]:
+    """The trigrams by which a string is looked up, in their order."""
+    rare = sorted(_trigrams(string), key=lambda t: -sum(_COMMON.index(c) if c in _COMMON else 30 for c in t))[:_ASKED]
+    return [t for t in _trigrams(string) if t in rare]
+
+
 def _of_strings(strings: set[str]) -> object:
-    """Every match holds one of these strings; alternatives that ask for more than another are left out."""
-    sets = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in sorted(strings)]
-    return _any([_all([s[i : i + 3] for i in range(len(s) - 2)]) for s, own in zip(sorted(strings), sets) if not any(other < own for other in sets)])
+    """Every match holds one of these strings; alternatives that hold another are left out."""
+    sets = {s: frozenset(_trigrams(s)) for s in sorted(strings)}
+    return _any([_all(_asked(s)) for s, own in sets.items() if not any(other < own for other in sets.values())])
 
 
 def _exact(op, arg) -> set[str] | None:
@@ -172,7 +188,8 @@ def trigram_pattern(trigrams: list[str]) -> str:
 
 def postings(docs: DataFrame, text: Column, doc: Column, trigrams: list[str], chunks: int) -> DataFrame:
     """The inverted index: chunk, trigram and docs, the sorted hashes of the chunk's documents that hold the trigram."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(trigram_pattern(trigrams)), F.lit(1)))
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # all that rules ignore the case of
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(trigram_pattern(trigrams)), F.lit(1)))
     held = docs.select(doc.alias("doc"), found.alias("trigrams")).filter(F.size("trigrams") > 0).withColumn("chunk", F.pmod("doc", F.lit(chunks)))
     # one shuffle, by chunk, serves the lists and their intersection
     each = held.repartition("chunk").select("chunk", "doc", F.explode("trigrams").alias("trigram"))
