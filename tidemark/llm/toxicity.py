@@ -47,40 +47,37 @@ class Spec:
     steps: int = 400
 
 
-def gram_hits(col: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(row, hashed n-gram) of every n-gram of a string column, repeats included, and the number of rows."""
+def _grams(col: pa.Array):
+    """(rows, hashed n-grams) of a string column, repeats included, for one size of n-grams after the other."""
     data, offsets = textvec.column_bytes(col)
-    rows = len(offsets) - 1
     blank = textvec.WORD_SPACE[data]
-    row = np.repeat(np.arange(rows), np.diff(offsets))
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     keep = ~blank  # of a run of white space only the first counts
     keep[1:] |= blank[1:] & ~(blank[:-1] & (row[1:] == row[:-1]))
     low = np.where(blank, np.uint8(32), textvec.LOWER[data])[keep].astype(np.uint64)
     row = row[keep]
-    out_row, out_gram = [], []
     h = low.copy()
     for k in range(1, max(GRAMS)):
         if len(low) <= k:
-            break
+            return
         h = h[:-1] * np.uint64(257) + low[k:]
         if k + 1 in GRAMS:
+            gram = (((h + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
             same = row[: len(h)] == row[k:]
-            mixed = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-            out_gram.append((mixed >> np.uint64(64 - BITS)).astype(np.int64)[same])
-            out_row.append(row[: len(h)][same])
-    if not out_row:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), rows
-    return np.concatenate(out_row), np.concatenate(out_gram), rows
+            yield row[: len(h)][same], gram[same]
 
 
 def presence(col: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct (row, n-gram) pairs; ``wanted[gram]`` is the feature number + 1, or 0 for n-grams left out."""
-    rows_, grams, n = gram_hits(col)
-    if wanted is not None:
-        f = wanted[grams]
-        rows_, grams = rows_[f > 0], f[f > 0].astype(np.int64) - 1
-    key = np.unique(rows_ << BITS | grams)
-    return key >> BITS, key & ((1 << BITS) - 1), n
+    keys = []
+    for row, gram in _grams(col):
+        if wanted is not None:
+            gram = wanted[gram]
+            hit = np.flatnonzero(gram)
+            row, gram = row[hit], gram[hit].astype(np.int64) - 1
+        keys.append(row.astype(np.int64) << BITS | gram)
+    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    return key >> BITS, key & ((1 << BITS) - 1), len(col)
 
 
 @dataclass
@@ -92,7 +89,7 @@ class Model:
     bias: float
 
     def lookup(self) -> np.ndarray:
-        wanted = np.zeros(1 << BITS, np.int32)
+        wanted = np.zeros(1 << BITS, np.uint16 if len(self.grams) < 1 << 16 else np.int32)  # small, to stay in the processor's cache
         wanted[self.grams] = np.arange(1, len(self.grams) + 1)
         return wanted
 
