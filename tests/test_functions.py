@@ -100,3 +100,17 @@ def test_format_bytes_rounds_halves_to_even(spark):
         want.append(f"{n / (1 << k):.2f} {unit}" if k else f"{n} B")
     df = spark.createDataFrame([(i, n) for i, n in enumerate(ns)], "i int, n long").select("i", codec.format_bytes(F.col("n")).alias("t"))
     assert [r["t"] for r in df.orderBy("i").collect()] == want
+
+
+def test_format_bytes_of_the_largest_numbers(spark):
+    from decimal import ROUND_HALF_EVEN, Context, Decimal
+
+    def want(n):
+        unit, k = next(((u, k) for u, k in (("GB", 30), ("MB", 20), ("KB", 10)) if n >= 1 << k), ("B", 0))
+        return f"{(Decimal(n) / (1 << k)).quantize(Decimal('0.01'), ROUND_HALF_EVEN, Context(60))} {unit}" if k else f"{n} B"
+
+    ns = [0, 1023, (1 << 20) - 1, (1 << 30) - 1, (1 << 63) // 100 + 1, 451_801**3, 2_097_151**3, (1 << 62) + (5 << 27), (1 << 62) + (15 << 27), (1 << 63) - 1]
+    big = [*ns, 1 << 63, 6_000_000**3, (1 << 66) + (5 << 27)]
+    for kind, some in (("bigint", ns), ("decimal(38,0)", big)):
+        df = spark.createDataFrame([(i, str(n)) for i, n in enumerate(some)], "i int, n string").select("i", codec.format_bytes(F.col("n").cast(kind)).alias("t"))
+        assert [r["t"] for r in df.orderBy("i").collect()] == [want(n) for n in some]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,15 +45,16 @@ def unmasked_crc(masked: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes in the largest unit that leaves at least one, to two decimals, halves to the even one."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for shift, unit in ((10, "KB"), (20, "MB"), (30, "GB")):
-        whole, rest = F.shiftright(n * 100, shift), F.pmod(n * 100, F.lit(1 << shift))
-        up = (rest > 1 << shift - 1) | ((rest == 1 << shift - 1) & (whole % 2 == 1))
-        cents = whole + up.cast("int")
-        text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"), F.lit(f" {unit}"))
-        out = F.when(n >= 1 << shift, text).otherwise(out)
-    return out
+    """Bytes (a bigint or a whole decimal) in the largest unit that leaves at least one, to two decimals, halves to the even one."""
+    size, unit = F.when(n >= 1 << 30, F.lit(1 << 30)), F.when(n >= 1 << 30, " GB")
+    for shift, name in ((20, " MB"), (10, " KB")):
+        size, unit = size.when(n >= 1 << shift, F.lit(1 << shift)), unit.when(n >= 1 << shift, name)
+    size, unit = size.otherwise(1).cast("bigint"), unit.otherwise(" B")
+    # only what is below the unit is multiplied, so that no n overflows; both divisions by a power of two are exact
+    below = F.pmod(n, size).cast("bigint")
+    cents = F.floor((n - below) / size) * 100 + F.rint(below * 100 / size).cast("int")
+    text = F.when(size > 1, (cents * F.lit(Decimal("0.01"))).cast("string")).otherwise(n.cast("string"))
+    return F.concat(text, unit)
 
 
 def put_varint(n: int) -> bytes:

@@ -23,6 +23,9 @@ from tidemark.options import Options
 from tidemark.schema import DELETE, PUT
 from tidemark.sources.store import Store
 
+#: the largest number whose cube is a bigint
+LAST_CUBE = 2097151
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -604,8 +607,9 @@ def _cents(shift: int) -> str:
     WHEN n >= 1024 THEN (k // 100) || '.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || ' KB' ELSE n || ' B' END AS text FROM cents"""
 )
 def format_bytes(log):
-    n = F.col("seq") * F.col("seq") * F.col("seq")
-    return log.select("seq", codec.format_bytes(n).alias("text"))
+    seq, wide = F.col("seq"), F.col("seq").cast("decimal(20,0)")
+    ns = log.select("seq", F.when(seq <= LAST_CUBE, seq * seq * seq).alias("n"), F.when(seq > LAST_CUBE, wide * wide * wide).alias("m"))
+    return ns.select("seq", F.coalesce(codec.format_bytes(F.col("n")), codec.format_bytes(F.col("m"))).alias("text"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
