@@ -114,3 +114,11 @@ def test_format_bytes_of_the_largest_numbers(spark):
     for kind, some in (("bigint", ns), ("decimal(38,0)", big)):
         df = spark.createDataFrame([(i, str(n)) for i, n in enumerate(some)], "i int, n string").select("i", codec.format_bytes(F.col("n").cast(kind)).alias("t"))
         assert [r["t"] for r in df.orderBy("i").collect()] == [want(n) for n in some]
+
+
+def test_varint_length_of_the_largest_numbers(spark):
+    ns = [0, 127, 128, (1 << 56) - 1, 1 << 56, (1 << 63) - 1, None]
+    big = [*ns, 1 << 63, (1 << 64) - 1, 6_000_000**3, (1 << 70) - 1, 1 << 70, (1 << 126) - 1, 1 << 126]
+    for kind, some in (("bigint", ns), ("decimal(38,0)", big)):
+        df = spark.createDataFrame([(i, None if n is None else str(n)) for i, n in enumerate(some)], "i int, n string").select("i", codec.varint_length(F.col("n").cast(kind)).alias("k"))
+        assert [r["k"] for r in df.orderBy("i").collect()] == [None if n is None else len(codec.put_varint(n)) for n in some]

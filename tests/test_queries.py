@@ -49,3 +49,9 @@ def test_format_bytes_of_far_sequences(spark, far):
     df = queries.QUERIES["format_bytes"](spark, far)
     assert same_wide(df, far, "format_bytes") is None
     assert df.count() == 11
+
+
+def test_varint_length_of_far_sequences(spark, far):
+    df = queries.QUERIES["varint_length"](spark, far)
+    assert same_wide(df, far, "varint_length") is None
+    assert dict(df.dtypes) == {"n": "decimal(38,0)", "length": "int"} and df.count() == 11

@@ -26,11 +26,11 @@ def internal_key_parts(encoded: Column) -> Column:
 
 
 def varint_length(n: Column) -> Column:
-    """Bytes that a varint takes: one per 7 bits."""
-    out = F.when(n < 1 << 7, 1)
-    for k in range(2, 9):
-        out = out.when(n < F.lit(1 << 7 * k), k)
-    return out.otherwise(9)
+    """Bytes that a varint takes, one per 7 bits; n is a bigint or a whole decimal."""
+    out = F.when(n.isNull(), F.lit(None)).when(n < 1 << 7, 1)
+    for k in range(2, 19):
+        out = out.when(n < F.lit(1 << 7 * k if k < 9 else Decimal(1 << 7 * k)), k)
+    return out.otherwise(19)
 
 
 def masked_crc(crc: Column) -> Column:

@@ -583,8 +583,11 @@ def internal_key_codec(log):
 
 @_query("SELECT seq * seq * seq AS n, CAST((length(bin(seq * seq * seq)) + 6) // 7 AS INT) AS length FROM log")
 def varint_length(log):
-    n = F.col("seq") * F.col("seq") * F.col("seq")
-    return log.select(n.alias("n"), codec.varint_length(n).alias("length"))
+    """n is a bigint as in the SQL, or a decimal when that does not hold the largest cube."""
+    seq = F.col("seq")
+    if (log.agg(F.max("seq")).first()[0] or 0) > LAST_CUBE:
+        seq = seq.cast("decimal(20,0)")
+    return log.select((seq * seq * seq).alias("n")).select("n", codec.varint_length(F.col("n")).alias("length"))
 
 
 @_query("SELECT seq * 429496 % 4294967296 AS crc, ((crc >> 15) + (crc % 32768) * 131072 + 2726488792) % 4294967296 AS masked, crc AS back FROM log")
